@@ -1,32 +1,12 @@
-"""The folder that the driver and all executors share, and cuts of lineage in it."""
+"""Tables of the registered queries, and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import cut, new_folder, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as a URI; a new local folder only where the session has none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="matchlode-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base if urlparse(base).scheme else f"file://{base}"
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later stages survive lost executors."""
-    path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "documents", "new_folder", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

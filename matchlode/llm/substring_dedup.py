@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .packed import bucket_of, dealt, gather, pack, runs, schema, unpack
 from .scan import Block, blocks, grams, sliding_min
+from .shared import cut
 
 #: Entries that a task holds before it sends them.
 HELD = 1 << 21
@@ -51,7 +52,8 @@ def _minimisers(width: int, seed: int):
         h, doc = h[order], doc[order]
         at = runs(h)
         lo, hi = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-        yield from pack(0, bucket_of(h[at]), [h[at], lo], 2)
+        first = at[by := np.argsort(lo, kind="stable")]
+        yield from pack(0, bucket_of(h[first]), [h[first], lo[by]], 2)
         both = np.repeat(lo < hi, np.diff(np.r_[at, len(h)]))
         yield from pack(1, bucket_of(doc[both]), [h[both], doc[both]], 2)
 
@@ -231,17 +233,19 @@ def remove_repeated_spans(docs: DataFrame, width: int = 13, seed: int = 6) -> Da
     if not 1 <= seed <= width:
         raise ValueError("seed must be from 1 to width")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    nameless = rows.filter("doc_id IS NULL").withColumn("paths", F.lit(None).cast("array<struct<at:long,n:long,digest:binary>>"))
+    rows = rows.filter("doc_id IS NOT NULL")  # all joins read one exchange of these
     known = (
-        dealt(own.mapInArrow(_minimisers(width, seed), schema(2)))
+        dealt(rows.mapInArrow(_minimisers(width, seed), schema(2)))
         .mapInArrow(_shared, "doc_id long, h long")
         .groupBy("doc_id")
         .agg(F.collect_list("h").alias("known"))
     )
-    paths = dealt(rows.join(known, "doc_id").mapInArrow(_edges(width, seed), schema(5))).mapInArrow(_compact, "doc_id long, at long, n long, sdoc long, sat long")
+    edges = rows.join(known, "doc_id").mapInArrow(_edges(width, seed), schema(5))
+    paths = cut(dealt(edges).mapInArrow(_compact, "doc_id long, at long, n long, sdoc long, sat long"), "paths")
     asked = paths.select("sdoc", "sat", "n").distinct().groupBy("sdoc").agg(F.collect_list(F.struct("sat", "n")).alias("asked"))
     source = rows.join(asked.withColumnRenamed("sdoc", "doc_id"), "doc_id").withColumnRenamed("doc_id", "sdoc").mapInArrow(_source_words(width), "sdoc long, sat long, n long, digest binary")
     checked = paths.join(source, ["sdoc", "sat", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "digest")).alias("paths"))
-    return rows.join(checked, "doc_id", "left").mapInArrow(
+    return rows.join(checked, "doc_id", "left").unionByName(nameless).mapInArrow(
         _keep(width), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>"
     )
