@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, language_id, mixing, toxicity
 from .bpe import encode
 from .exact_dedup import exact_groups
+from .language_model import score_documents
+from .line_dedup import remove_repeated_lines
 from .media import read_audio, store_audio
 from .mixing import mix_sources
 from .shared import documents
@@ -21,6 +23,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.score(docs.withColumn("held_out", language_id.held_out(F.col("doc_id"), 5, 0)), model, "doc_id", "held_out")
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -34,6 +48,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     found = encode(documents(spark, sf_dir), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, "doc_id")
     return found.select(
@@ -63,5 +81,21 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op4_exact_dedup, op5_mixing, op6_simhash, op8_bpe, op9_media)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), "doc_id")
+
+
+_ALL = (
+    op1_substring_dedup,
+    op2_line_dedup,
+    op3_toxicity,
+    op4_exact_dedup,
+    op5_mixing,
+    op6_simhash,
+    op7_language_model,
+    op8_bpe,
+    op9_media,
+    op10_language_id,
+)
+QUERIES = {q.__name__: q for q in _ALL}
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op5_mixing": mixing.ORACLE}
