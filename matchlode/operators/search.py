@@ -81,16 +81,22 @@ def complete(scores: DataFrame, queries: DataFrame, catalog: DataFrame, query_ke
     return known.unionByName(blank.select(query_key, catalog_key, "ordinal", "score")).groupBy(query_key, catalog_key, "ordinal").agg(F.max("score").alias("score"))
 
 
-def lexical_top_k(queries: DataFrame, catalog: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", **vocabulary) -> DataFrame:
-    """query_key, catalog_key, ordinal, score, rank. Both sides: key, text; catalog also ordinal.
+def lexical_scores(queries: DataFrame, catalog: DataFrame, vocabulary: DataFrame, query_key: str = "google_id", catalog_key: str = "amazon_id", **sizes: int) -> DataFrame:
+    """query_key, catalog_key, score of pairs with a common gram, under a fitted vocabulary. Both sides: key, text.
 
-    The vocabulary is fitted on both sides; only grams of the catalog can add to a product, so the
-    query side is cut to them after its lengths are taken.
+    Only grams of the catalog can add to a product; the join drops all others after the query's
+    length is taken over the whole vocabulary.
     """
-    own, other = gram_counts(queries, query_key, "text"), gram_counts(catalog, catalog_key, "text")
-    both = own.select(F.concat(F.lit("q"), F.col(query_key)).alias("key"), "gram", "tf").unionByName(other.select(F.concat(F.lit("c"), F.col(catalog_key)).alias("key"), "gram", "tf"))
-    grams = fit_vocabulary(both, queries.count() + catalog.count(), **vocabulary)
-    scores = sparse_scores(postings(own, grams, query_key), postings(other, grams, catalog_key), query_key, catalog_key)
+    own = postings(gram_counts(queries, query_key, "text", **sizes), vocabulary, query_key)
+    other = postings(gram_counts(catalog, catalog_key, "text", **sizes), vocabulary, catalog_key)
+    return sparse_scores(own, other, query_key, catalog_key)
+
+
+def lexical_top_k(queries: DataFrame, catalog: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", **vocabulary) -> DataFrame:
+    """query_key, catalog_key, ordinal, score, rank; the vocabulary is fitted on both sides. catalog also has ordinal."""
+    counts = [gram_counts(side, key, "text").select(F.concat(F.lit(tag), F.col(key)).alias("key"), "gram", "tf") for side, key, tag in ((queries, query_key, "q"), (catalog, catalog_key, "c"))]
+    grams = fit_vocabulary(counts[0].unionByName(counts[1]), queries.count() + catalog.count(), **vocabulary)
+    scores = lexical_scores(queries, catalog, grams, query_key, catalog_key)
     return top_k(complete(scores, queries, catalog, query_key, catalog_key, k), query_key, "ordinal", k)
 
 
