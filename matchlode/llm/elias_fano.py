@@ -36,7 +36,7 @@ class EliasFano:
     @staticmethod
     def build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]:
         n, values = len(values), values.astype(U8)
-        width = max(0, (universe // n).bit_length() - 1) if n else 0
+        width = max(0, (universe // max(1, n)).bit_length() - 1)
         high = (values >> U8(width)).astype(np.int64)
         top = (universe >> width) + 1
         bits = np.zeros(-(-(n + top + 1) // 64) * 64, bool)
@@ -54,25 +54,26 @@ class EliasFano:
         count = np.bitwise_count(words).astype(np.int64)
         ones = np.cumsum(count) - count
         zeros = np.arange(len(words)) * 64 - ones
-        hints = [np.searchsorted(b, np.arange(0, total + 1, 1 << _HINT), "right") - 1 for b, total in ((zeros, len(words) * 64 - n), (ones, n))]
+        hints = [np.r_[np.searchsorted(b, np.arange(0, total + 1, 1 << _HINT), "right") - 1, len(words) - 1] for b, total in ((zeros, len(words) * 64 - n), (ones, n))]
         parts = {"head": np.array([n, width, universe], U8), "low": low, "high": words, "ones": ones.astype(np.uint32 if len(words) < 1 << 26 else U8)}
         parts |= {f"hint{i}": h.astype(np.uint32 if len(words) < 1 << 32 else U8) for i, h in enumerate(hints)}
         return {f"{name}.{k}": v for k, v in parts.items()}
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
-        w = (self.hint1 if one else self.hint0)[k >> _HINT].astype(np.int64)
-        last = len(self.high) - 1
+        hint = self.hint1 if one else self.hint0
+        w, end = hint[k >> _HINT].astype(np.int64), hint[(k >> _HINT) + 1].astype(np.int64)
 
         def before(at):
             ones = self.ones[at].astype(np.int64)
             return ones if one else at * 64 - ones
 
-        todo = np.arange(len(k))
+        todo = np.flatnonzero(w < end)  # between two hints: the last word that begins at k or earlier
         while len(todo):
-            nxt = np.minimum(w[todo] + 1, last)
-            on = (nxt > w[todo]) & (before(nxt) <= k[todo])
-            todo = todo[on]
-            w[todo] += 1
+            lo, hi = w[todo], end[todo]
+            mid = (lo + hi + 1) >> 1
+            on = before(mid) <= k[todo]
+            w[todo], end[todo] = np.where(on, mid, lo), np.where(on, hi, mid - 1)
+            todo = todo[w[todo] < end[todo]]
         word = self.high[w]
         return w * 64 + _select_in(word if one else ~word, k - before(w))
 
@@ -142,6 +143,6 @@ def map_arrays(folder: str, name: str, local: str | None = None) -> dict[str, np
     if not isinstance(system, arrow_fs.LocalFileSystem):
         arrow_fs.copy_files(path, f"{local}/{name}", source_filesystem=system, destination_filesystem=arrow_fs.LocalFileSystem())
         path = f"{local}/{name}"
-    data = np.memmap(path, np.uint8, "r")
+    data = np.memmap(path, np.uint8, "r").view(np.ndarray)
     size = int(data[:8].view(np.uint64)[0])
     return {k: data[8 + size + at : 8 + size + at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in json.loads(bytes(data[8 : 8 + size])).items()}
