@@ -27,7 +27,7 @@ from .language_id import held_out
 from .scan import _BYTE, _STEP, LOWER, Block, _ranges, blocks, mix
 
 #: The most labelled rows, and bytes of their texts, that are learned from: the first by a hash of doc_id.
-SAMPLE_ROWS, SAMPLE_BYTES = 12000, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 8000, 24 << 20
 BUCKETS = 1 << 19
 PREFIXES = (4, 6, 8)
 DIMENSIONS, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
@@ -211,15 +211,17 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: in
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    found = sample(docs, labels).toPandas()
-    y = found.toxic.to_numpy(float)
+    found = sample(docs, labels).toArrow()
+    y = found["toxic"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None
     features = []
-    for b in blocks(pa.array(found.text, pa.string())):
-        own = word_features(b)
-        features += [own[i:j] for i, j in zip(b.first, b.first[1:])]
-    langs = [x if isinstance(x, str) else None for x in found.lang]
+    for chunk in found["text"].chunks:
+        for b in blocks(chunk):
+            own = word_features(b)
+            features += [own[i:j] for i, j in zip(b.first, b.first[1:])]
+    langs = found["lang"].to_pylist()
+    del found
     cut = max(1, len(y) * 7 // 10)
     m = train(features[:cut], y[:cut]) if len(set(y[:cut])) == 2 and len(y) > 20 else train(features, y)
     calibrate(m, features[cut:], y[cut:], langs[cut:], features[:cut], langs[:cut])
