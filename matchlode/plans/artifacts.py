@@ -33,7 +33,7 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = Fals
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     if not rows or not rows[0].value.strip("\0"):
         raise ValueError(f"{path} is empty")
     return rows[0].value.rstrip("\0")

@@ -13,7 +13,7 @@ from matchlode.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, 4, "4g")
+    return local_session(4, 2, "4g")
 
 
 @pytest.fixture(scope="session")
