@@ -3,11 +3,12 @@
 Two fingerprints at most 3 bits apart meet in a word that is at most 1 bit from one and at most 2
 bits from the other. Such a word links everything in its ball of radius 2 to any member of its ball
 of radius 1, and nothing else: components come from stars around words, never from pairs, and a
-word has at most 2,081 members. Balls of radius 1 (65 words) are emitted for every distinct
-fingerprint and find all links up to 2 bits. Balls of radius 2 are emitted only where a link of 3
-bits is still possible: two fingerprints 3 bits apart differ in at most one bit (half the radius) of
-one 32-bit half, so they meet in a variant of that half; components that are alone in all variants
-of their halves cannot have one.
+word has a bounded number of members. Balls of radius 1 (65 words) are emitted for every distinct
+fingerprint and find all links up to 2 bits. Links of 3 bits need the wider ball too; as two of three
+bits always lie in the same 32-bit half, it is enough to flip pairs of bits within a half (992 words).
+It is emitted only where such a link is still possible: two fingerprints 3 bits apart differ in at
+most one bit (half the radius) of one half, so they meet in a variant of that half; components that
+are alone in all variants of their halves cannot have one.
 
 Defined results: no words (or null text) give fingerprint 0; one or two words are one shingle; rows
 with null doc_id get a fingerprint and component but never name one (a component of only such rows
@@ -34,7 +35,8 @@ SHINGLES_AT_ONCE = 1 << 18
 I8, U8 = np.int64, np.uint64
 _ONE = U8(1) << np.arange(64, dtype=U8)
 RADIUS_1 = np.r_[U8(0), _ONE]
-RADIUS_2 = np.r_[RADIUS_1, *(_ONE[i] | _ONE[i + 1 :] for i in range(64))].astype(U8)
+PAIRS = np.concatenate([_ONE[i] | _ONE[i + 1 : 32 * (i // 32) + 32] for i in range(64)])
+RADIUS_2 = np.r_[RADIUS_1, PAIRS]
 HALF_1 = np.r_[U8(0), _ONE[:32]]
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -146,26 +148,31 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wide_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    step = max(1, HELD // len(RADIUS_2))
-    close = np.arange(len(RADIUS_2)) < len(RADIUS_1)
+    step = HELD // len(RADIUS_2)
     for batch in batches:
-        fp, comp = _column(batch, "fp").view(U8), _column(batch, "comp").view(U8)
+        fp = _column(batch, "fp").view(U8)
         for lo in range(0, len(fp), step):
             v = (fp[lo : lo + step, None] ^ RADIUS_2).ravel()
-            k = len(v) // len(RADIUS_2)
-            yield from pack(0, bucket_of(v), [v, np.repeat(comp[lo : lo + step], len(RADIUS_2)), np.tile(close.astype(np.uint8), k)], 3)
+            yield from pack(0, bucket_of(v), [v, np.tile(np.arange(len(RADIUS_2), dtype=np.uint16), len(v) // len(RADIUS_2))], 2)
 
 
 def _wide_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    v, comp, close = unpack(gather(batches, 3).get(0, []), [U8, U8, np.uint8])
-    order = np.lexsort((1 - close, v))
-    v, comp, close = v[order], comp[order], close[order]
+    """An edge from each member of a word's ball to one of those within 1 bit, if there is any."""
+    v, flip = unpack(gather(batches, 2).get(0, []), [U8, np.uint16])
+    order = np.argsort(v, kind="stable")
+    v, flip = v[order], flip[order]
+    same = v[1:] == v[:-1]
+    keep = np.r_[same, False] | np.r_[False, same] if len(v) else np.zeros(0, bool)
+    v, flip = v[keep], flip[keep].astype(I8)
+    fp = v ^ RADIUS_2[flip]
+    order = np.lexsort((fp, flip >= len(RADIUS_1), v))
+    v, fp, close = v[order], fp[order], flip[order] < len(RADIUS_1)
     at = runs(v)
     n = np.diff(np.r_[at, len(v)])
-    lead = np.repeat(comp[at], n)
-    linked = (comp != lead) & np.repeat(close[at] == 1, n)
+    lead = np.repeat(fp[at], n)
+    linked = (fp != lead) & np.repeat(close[at], n)
     if linked.any():
-        pairs = np.unique(np.stack([comp[linked], lead[linked]], 1), axis=0)
+        pairs = np.unique(np.stack([fp[linked], lead[linked]], 1), axis=0)
         yield _edges(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
 
 
@@ -175,7 +182,10 @@ def fingerprint_components(nodes: DataFrame) -> DataFrame:
     first = cut(nodes.join(one, nodes.fp == one.node, "left").select("fp", F.coalesce("component", "fp").alias("comp")), "near2")
     mixed = dealt(first.mapInArrow(_halves, schema(2))).mapInArrow(_mixed, "comp long").distinct()
     open_ = first.join(mixed, "comp", "left_semi").select("fp", "comp")
-    two = connected_components(dealt(open_.mapInArrow(_wide_balls, schema(3))).mapInArrow(_wide_stars, "a long, b long"))
+    links = dealt(open_.select("fp").mapInArrow(_wide_balls, schema(2))).mapInArrow(_wide_stars, "a long, b long")
+    for side in ("a", "b"):  # links of fingerprints are links of their components
+        links = links.join(first.select(F.col("fp").alias(side), F.col("comp").alias(f"comp_{side}")), side)
+    two = connected_components(links.filter("comp_a <> comp_b"), "comp_a", "comp_b")
     return first.join(two, first.comp == two.node, "left").select("fp", F.coalesce("component", "comp").alias("comp"))
 
 
