@@ -76,8 +76,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         out = []
         for doc, version, text, hs in _rows(batch, "id", "version", "text", "hs"):
-            known = set(hs)
-            out += [(h, c, doc, version, k) for k, _, c in candidates(text) if (h := _hash(c)) in known]
+            known = set(hs or ())
+            out += [] if not known else [(h, c, doc, version, k) for k, _, c in candidates(text) if (h := _hash(c)) in known]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["h", "chunk", "id", "version", "place"])
 
@@ -106,16 +106,16 @@ def remove_repeated_lines(docs: DataFrame, *keep: str) -> DataFrame:
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), *(F.col(c).alias(n) for c, n in zip(keep, names)), F.xxhash64(text).alias("version"), text.alias("text"))
-    nameless = rows.filter("id IS NULL").withColumns({c: F.lit(None).cast("array<long>") for c in ("hs", "stay")}).drop("version")
-    rows = rows.filter("id IS NOT NULL")
     bare = rows.select("id", "version", "text")
-    found = cut(bare.mapInArrow(_hashes, "h long, id long, version long, n long").distinct(), "chunks")  # equal rows are one document
-    again = found.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1").select("h")
+    found = cut(bare.filter("id IS NOT NULL").mapInArrow(_hashes, "h long, id long, version long, n long").distinct(), "chunks")  # equal rows are one document
+    # A table of its own: a join with it can split a hash that very many documents have.
+    again = cut(found.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1").select("h"), "again")
     known = cut(found.join(again, "h").groupBy("id", "version").agg(F.collect_list("h").alias("hs")), "repeated")
-    places = bare.join(known, ["id", "version"]).mapInArrow(_repeated, "h long, chunk binary, id long, version long, place long")
+    # Both joins with texts are outer ones over the same rows, so that they read one exchange.
+    places = bare.join(known, ["id", "version"], "left").mapInArrow(_repeated, "h long, chunk binary, id long, version long, place long")
     first = places.groupBy("h", "chunk").agg(F.min(F.struct("id", "version", "place")).alias("f"))
     stay = first.groupBy(F.col("f.id").alias("id"), F.col("f.version").alias("version")).agg(F.collect_list("f.place").alias("stay"))
     marks = known.join(stay, ["id", "version"], "left")
     marked = rows.join(marks, ["id", "version"], "left").select("id", *names, "text", "hs", "stay")
-    done = marked.unionByName(nameless).mapInArrow(_drop, ", ".join(["id long", *(f"{n} {k}" for n, k in zip(names, kinds)), "text string, n_lines long, n_removed long"]))
+    done = marked.mapInArrow(_drop, ", ".join(["id long", *(f"{n} {k}" for n, k in zip(names, kinds)), "text string, n_lines long, n_removed long"]))
     return done.select(F.col("id").alias("doc_id"), *(F.col(n).alias(c) for n, c in zip(names, keep)), "text", "n_lines", "n_removed")
