@@ -233,10 +233,8 @@ def remove_repeated_spans(docs: DataFrame, width: int = 13, seed: int = 6) -> Da
     if not 1 <= seed <= width:
         raise ValueError("seed must be from 1 to width")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nameless = rows.filter("doc_id IS NULL").withColumn("paths", F.lit(None).cast("array<struct<at:long,n:long,digest:binary>>"))
-    rows = rows.filter("doc_id IS NOT NULL")  # all joins read one exchange of these
     known = (
-        dealt(rows.mapInArrow(_minimisers(width, seed), schema(2)))
+        dealt(rows.filter("doc_id IS NOT NULL").mapInArrow(_minimisers(width, seed), schema(2)))
         .mapInArrow(_shared, "doc_id long, h long")
         .groupBy("doc_id")
         .agg(F.collect_list("h").alias("known"))
@@ -244,8 +242,11 @@ def remove_repeated_spans(docs: DataFrame, width: int = 13, seed: int = 6) -> Da
     edges = rows.join(known, "doc_id").mapInArrow(_edges(width, seed), schema(5))
     paths = cut(dealt(edges).mapInArrow(_compact, "doc_id long, at long, n long, sdoc long, sat long"), "paths")
     asked = paths.select("sdoc", "sat", "n").distinct().groupBy("sdoc").agg(F.collect_list(F.struct("sat", "n")).alias("asked"))
-    source = rows.join(asked.withColumnRenamed("sdoc", "doc_id"), "doc_id").withColumnRenamed("doc_id", "sdoc").mapInArrow(_source_words(width), "sdoc long, sat long, n long, digest binary")
+    # Both joins with texts are outer ones over the same rows, so that they read one exchange; rows without id are spread by their text.
+    zero = F.pmod(F.col("doc_id"), F.lit(1))  # not a literal, which would leave the exchange
+    spread = rows.withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(zero))
+    source = spread.join(asked.withColumnRenamed("sdoc", "doc_id").withColumn("spread", zero), ["doc_id", "spread"], "left").withColumnRenamed("doc_id", "sdoc").mapInArrow(_source_words(width), "sdoc long, sat long, n long, digest binary")
     checked = paths.join(source, ["sdoc", "sat", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "digest")).alias("paths"))
-    return rows.join(checked, "doc_id", "left").unionByName(nameless).mapInArrow(
+    return spread.join(checked.withColumn("spread", zero), ["doc_id", "spread"], "left").mapInArrow(
         _keep(width), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>"
     )
