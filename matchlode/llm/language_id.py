@@ -125,8 +125,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [counts(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array([a.astype(np.int16).tobytes() for a, _ in found], pa.binary()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in found], pa.binary())],
-            names=["label", "at", "n"],
+            [*(batch.column(c) for c in ("draw", "id", "label")), pa.array([a.astype(np.int16).tobytes() for a, _ in found], pa.binary()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in found], pa.binary())],
+            names=["draw", "id", "label", "at", "n"],
         )
 
 
@@ -139,7 +139,10 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     sums = sums[sums.feature >= 0]
     df[sums.feature] = sums.n
     idf = np.log((1 + texts) / (1 + df)) + 1
-    sample = rows.orderBy(F.xxhash64(F.col("id"), F.lit(7)), "id").limit(sample_rows).mapInArrow(_features, "label string, at binary, n binary").toPandas()
+    draw = F.xxhash64(F.col("id"), F.lit(7))
+    chosen = rows.select("id", draw.alias("draw")).orderBy("draw", "id").limit(sample_rows).distinct()  # numbers alone; then their texts
+    texts = rows.join(F.broadcast(chosen), "id").select("draw", "id", "text", "label")
+    sample = texts.mapInArrow(_features, "draw long, id long, label string, at binary, n binary").orderBy("draw", "id", "label", F.xxhash64("at", "n")).limit(sample_rows).toPandas()
     languages = sorted(sample.label.unique())
     examples = [(np.frombuffer(a, np.int16).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.float64), languages.index(y)) for a, n, y in zip(sample["at"], sample.n, sample.label)]
     examples = [examples[i] for i in np.random.default_rng(5).permutation(len(examples))]
