@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from ..storage import cut
 
 #: A catalog of more bytes than this is not sent to every executor at once but searched in parts.
 BLOCK_BYTES = 64 << 20
@@ -92,12 +95,121 @@ def lexical_scores(queries: DataFrame, catalog: DataFrame, vocabulary: DataFrame
     return sparse_scores(own, other, query_key, catalog_key)
 
 
-def lexical_top_k(queries: DataFrame, catalog: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", **vocabulary) -> DataFrame:
+def word_grams(word: str, low: int, high: int) -> list[str]:
+    """char_grams of one normalised word."""
+    padded = f" {word} "
+    return [padded[i : i + n] for n in range(low, high + 1) if n == low or len(padded) >= n for i in range(max(1, len(padded) - n + 1))]
+
+
+class _Grams(dict):
+    """Grams of words, remembered up to a bound; only those that `place` knows, as numbers, if it is given."""
+
+    def __init__(self, low: int, high: int, place: dict[str, int] | None = None, bound: int = 200_000):
+        self.low, self.high, self.place, self.bound = low, high, place, bound
+
+    def __missing__(self, word: str):
+        found = word_grams(word, self.low, self.high)
+        if self.place is not None:
+            found = [self.place[g] for g in found if g in self.place]
+        if len(self) >= self.bound:
+            self.clear()
+        self[word] = found
+        return found
+
+
+def gram_statistics(texts: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
+    """gram, df, total over a column text. Tasks sum over their rows first; what they send is a row a gram, not a posting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Grams(low, high)
+        for batch in batches:
+            df, total = Counter(), Counter()
+            for text in batch.column("t").to_pylist():
+                own = Counter(chain.from_iterable(known[w] for w in text.split(" ") if w))
+                df.update(own.keys())
+                total.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([df[g] for g in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["gram", "df", "total"])
+
+    parts = texts.select(F.lower(clean_text(F.col("text"))).alias("t")).mapInArrow(run, "gram string, df long, total long")
+    return parts.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def vocabulary_of(statistics: DataFrame, documents: int, min_df: int = 1, max_features: int | None = 50_000) -> DataFrame:
+    grams = statistics.filter(F.col("df") >= min_df)
+    if max_features is not None:
+        grams = grams.orderBy(F.desc("total"), "gram").limit(max_features)
+    return grams.select("gram", "df", (F.log(F.lit(1.0 + documents) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def _block_search(queries: DataFrame, idf: dict[str, float], items: list, ordinals: np.ndarray, texts: list[str], k: int, query_key: str, catalog_key: str, kinds: tuple[str, str], low: int, high: int, digits: int) -> DataFrame:
+    """lexical_top_k for a catalog whose matrix fits BLOCK_BYTES: each task multiplies its texts with it."""
+    place = {g: i for i, g in enumerate(idf)}
+    weight = np.array(list(idf.values()))
+
+    def vector(known: _Grams, text: str) -> tuple[np.ndarray, np.ndarray]:
+        at, n = np.unique(np.array(list(chain.from_iterable(known[w] for w in text.split(" ") if w)), np.int64), return_counts=True)
+        x = (1 + np.log(n)) * weight[at]
+        return at, x / max(np.sqrt((x * x).sum()), 1e-300)
+
+    own = _Grams(low, high, place)
+    vectors = [vector(own, t) for t in texts]
+    rows = np.unique(np.concatenate([at for at, _ in vectors])) if vectors else np.zeros(0, np.int64)
+    matrix = np.zeros((len(rows), len(items)))
+    for j, (at, x) in enumerate(vectors):
+        matrix[np.searchsorted(rows, at), j] = x
+    row_of = np.full(len(weight), -1)
+    row_of[rows] = np.arange(len(rows))
+    shared = queries.sparkSession.sparkContext.broadcast((place, weight, row_of, matrix, ordinals))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, weight, row_of, matrix, ordinals = shared.value
+        known = _Grams(low, high, place)
+        for batch in batches:
+            best, scores = [], []
+            for text in batch.column("t").to_pylist():
+                at, n = np.unique(np.array(list(chain.from_iterable(known[w] for w in text.split(" ") if w)), np.int64), return_counts=True)
+                x = (1 + np.log(n)) * weight[at]
+                length = np.sqrt((x * x).sum())
+                hit = row_of[at] >= 0
+                s = np.round((x[hit] / length) @ matrix[row_of[at[hit]]], digits) if hit.any() else np.zeros(matrix.shape[1])
+                order = np.lexsort((ordinals, -s))[:k]
+                best.append(order)
+                scores.append(s[order])
+            m = len(best[0]) if best else 0
+            flat = np.concatenate(best) if best else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("q").take(pa.array(np.repeat(np.arange(len(best)), m))), pa.array(flat), pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(best)))],
+                names=["q", "item", "score", "rank"],
+            )
+
+    found = queries.select(F.col(query_key).alias("q"), F.lower(clean_text(F.col("text"))).alias("t")).mapInArrow(run, f"q {kinds[0]}, item long, score double, rank int")
+    names = queries.sparkSession.createDataFrame([(i, key, int(o)) for i, (key, o) in enumerate(zip(items, ordinals))], f"item long, {catalog_key} {kinds[1]}, ordinal long")
+    return found.join(F.broadcast(names), "item").select(F.col("q").alias(query_key), catalog_key, "ordinal", "score", "rank")  # items of one block
+
+
+def lexical_search(queries: DataFrame, catalog: DataFrame, vocabulary: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", low: int = 3, high: int = 5, digits: int = 6) -> DataFrame:
+    """query_key, catalog_key, ordinal, score, rank under a fitted vocabulary.
+
+    A catalog whose matrix of grams by items is at most BLOCK_BYTES is sent to the tasks; a larger one,
+    or one with a larger vocabulary, is joined through its postings.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    kinds = tuple(side.schema[key].dataType.simpleString() for side, key in ((queries, query_key), (catalog, catalog_key)))
+    grams = vocabulary.count()
+    if 8 * grams * catalog.count() <= BLOCK_BYTES * 2 and 64 * grams <= BLOCK_BYTES:
+        idf = {r.gram: r.idf for r in vocabulary.select("gram", "idf").orderBy("gram").collect()}
+        rows = catalog.select(F.col(catalog_key).alias("k"), F.col("ordinal").cast("long").alias("o"), F.lower(clean_text(F.col("text"))).alias("t")).orderBy("o").collect()
+        return _block_search(queries, idf, [r.k for r in rows], np.array([r.o for r in rows], np.int64), [r.t for r in rows], k, query_key, catalog_key, kinds, low, high, digits)
+    scores = lexical_scores(queries, catalog, vocabulary, query_key, catalog_key, low=low, high=high)
+    return top_k(complete(scores, queries, catalog, query_key, catalog_key, k), query_key, "ordinal", k, digits)
+
+
+def lexical_top_k(queries: DataFrame, catalog: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", min_df: int = 1, max_features: int | None = 50_000) -> DataFrame:
     """query_key, catalog_key, ordinal, score, rank; the vocabulary is fitted on both sides. catalog also has ordinal."""
-    counts = [gram_counts(side, key, "text").select(F.concat(F.lit(tag), F.col(key)).alias("key"), "gram", "tf") for side, key, tag in ((queries, query_key, "q"), (catalog, catalog_key, "c"))]
-    grams = fit_vocabulary(counts[0].unionByName(counts[1]), queries.count() + catalog.count(), **vocabulary)
-    scores = lexical_scores(queries, catalog, grams, query_key, catalog_key)
-    return top_k(complete(scores, queries, catalog, query_key, catalog_key, k), query_key, "ordinal", k)
+    both = queries.select("text").unionByName(catalog.select("text"))
+    grams = cut(vocabulary_of(gram_statistics(both), both.count(), min_df, max_features), "vocabulary")
+    return lexical_search(queries, catalog, grams, k, query_key, catalog_key)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -43,9 +43,8 @@ def _vectors(products: DataFrame, key: str, encoder: Encoder) -> DataFrame:
 
 
 def fit_vocabulary(catalog: DataFrame, train: DataFrame, config: Config) -> DataFrame:
-    low, high = config.tfidf_ngram_range
-    texts = _texts(catalog, "key").select(F.concat(F.lit("c"), "key").alias("key"), "text").unionByName(_texts(train, "key").select(F.concat(F.lit("q"), "key").alias("key"), "text"))
-    return search.fit_vocabulary(search.gram_counts(texts, "key", "text", low, high), texts.count(), config.tfidf_min_df, config.tfidf_max_features)
+    texts = _texts(catalog, "key").unionByName(_texts(train, "key"))
+    return search.vocabulary_of(search.gram_statistics(texts, *config.tfidf_ngram_range), texts.count(), config.tfidf_min_df, config.tfidf_max_features)
 
 
 def retrieve(listings: DataFrame, catalog: DataFrame, vocabulary: DataFrame, catalog_vectors: DataFrame, encoder: Encoder, config: Config, gold: DataFrame | None = None, inject: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +56,7 @@ def retrieve(listings: DataFrame, catalog: DataFrame, vocabulary: DataFrame, cat
     lexical = cut(search.lexical_scores(queries, items, vocabulary, low=low, high=high), "lexical")
     vectors = cut(_vectors(listings, "google_id", encoder), "vectors")
     k = config.top_k
-    left = search.top_k(search.complete(lexical, queries, items, "google_id", "amazon_id", k), "google_id", "ordinal", k)
+    left = search.lexical_search(queries, items, vocabulary, k, low=low, high=high)
     right = search.dense_top_k(vectors, catalog_vectors, k)
     pool = cut(fusion.union_pool(left, right, config.rrf_constant), "pool")
     known = gold.join(listings.select(F.col("product_id").alias("google_id")), "google_id", "left_semi").join(catalog.select(F.col("product_id").alias("amazon_id")), "amazon_id", "left_semi") if inject else None

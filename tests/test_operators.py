@@ -80,7 +80,9 @@ def test_char_grams_follow_word_bounds(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_exact_search_fills_up_with_zero_scores(spark):
+@pytest.mark.parametrize("block", [1 << 26, 0])
+def test_exact_search_fills_up_with_zero_scores(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "BLOCK_BYTES", block)  # 0: through postings
     catalog = spark.createDataFrame([("a", 0, "red chair"), ("b", 1, "blue table"), ("c", 2, "red table")], "amazon_id string, ordinal long, text string")
     queries = spark.createDataFrame([("q", "red table"), ("r", "zzzz"), ("s", "")], "google_id string, text string")
     got = {(r.google_id, r["rank"]): r.amazon_id for r in search.lexical_top_k(queries, catalog, 2).collect()}
