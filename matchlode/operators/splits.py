@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import parse_boolean
+from ..storage import cut
 from .duplicates import component_labels, duplicate_groups, entity_components
 
 SPLITS = ("train", "validation", "test")
@@ -52,8 +53,8 @@ def deal_components(sizes: DataFrame, seed: int, ratios: tuple[float, ...]) -> D
 def entity_splits(listings: DataFrame, gold: DataFrame, seed: int = 42, ratios: tuple[float, ...] = (0.70, 0.15, 0.15)) -> DataFrame:
     """The split assignment of every listing id: COLUMNS."""
     check_ratios(ratios)
-    groups = duplicate_groups(listings, gold)
-    labelled = component_labels(entity_components(groups, gold))
+    groups = cut(duplicate_groups(listings, gold), "groups")
+    labelled = cut(component_labels(entity_components(groups, gold)), "components")
     dealt = deal_components(labelled.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")), seed, ratios)
     return labelled.join(dealt, "component_id").join(groups, "google_id").select(*COLUMNS)
 

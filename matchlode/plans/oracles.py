@@ -170,6 +170,11 @@ ORACLES = {
         ({_norm('ctext')} = '')::INT::DOUBLE AS candidate_description_missing, 1.0::DOUBLE AS query_price_missing, 1.0::DOUBLE AS candidate_price_missing"""
     ),
     "manufacturer_fuzzy": f"WITH p AS (SELECT DISTINCT p_name AS a, lower(p_type) AS b FROM part) SELECT a AS p_name, b AS kind, {_r(f'2.0::DOUBLE * {_lcs} / (length(a) + length(b))')} AS similarity FROM p",
+    "title_fuzzy": f"""WITH p AS (SELECT DISTINCT p_name, lower(p_type) || ' ' || string_split(p_name, ' ')[-1] AS other FROM part), s AS (SELECT *, string_split(p_name, ' ') AS x, string_split(other, ' ') AS y FROM p),
+        t AS (SELECT p_name, other, array_to_string(list_sort(list_distinct(list_intersect(x, y))), ' ') AS i, array_to_string(list_sort(list_distinct(list_filter(x, lambda w: NOT list_contains(y, w)))), ' ') AS a, array_to_string(list_sort(list_distinct(list_filter(y, lambda w: NOT list_contains(x, w)))), ' ') AS b FROM s),
+        u AS (SELECT *, length(i) AS s, (length(i) > 0)::INT AS g, length(a) AS la, length(b) AS lb, {_lcs} AS common FROM t)
+        SELECT p_name, other, round(CASE WHEN s > 0 AND (la = 0 OR lb = 0) THEN 1.0::DOUBLE ELSE greatest(1 - (la + lb - 2 * common)::DOUBLE / (2 * (s + g) + la + lb),
+          CASE WHEN s > 0 THEN 1 - (g + la)::DOUBLE / (2 * s + g + la) ELSE 0 END, CASE WHEN s > 0 THEN 1 - (g + lb)::DOUBLE / (2 * s + g + lb) ELSE 0 END) END, 6) AS similarity FROM u""",
     "top_candidate": f"{POOL} SELECT google_id, amazon_id, round(rrf, 6) AS rrf_score FROM pool WHERE rrf_rank = 1",
     "top_margin": f"{POOL} SELECT google_id, amazon_id, {_r('rrf - n')} AS top1_top2_margin FROM (SELECT *, lead(rrf, 1, 0) OVER (PARTITION BY google_id ORDER BY rrf_rank) AS n FROM pool) WHERE rrf_rank = 1",
     "ranking_metrics": f"""{POOL}, {GOLD_RANKS} SELECT count(*) AS gold_listings, {_found} AS retrieved_listings, {_hits} AS hits, {_r(_rate(_hits, 'count(*)'))} AS overall_hit_at_1, {_r(_rate(_hits, _found))} AS conditional_hit_at_1,

@@ -11,6 +11,7 @@ from ..functions import stats, text
 from ..functions.fuzzy import indel_similarity, token_set_similarity
 from ..operators import duplicates, errors, features, fusion, matcher, metrics, policy, ranking, search, splits
 from ..sources import tables
+from ..storage import cut
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -91,24 +92,28 @@ def gold_containment(spark, sf):
 
 def _partial_gold(spark, sf):
     """Gold without the last mapped listing of each duplicate group, so that some groups are mixed."""
-    g = tables.gold(spark, sf)
+    g = cut(tables.gold(spark, sf), "gold")
     own = duplicates.signatures(tables.listings(spark, sf)).join(g.select("google_id").distinct(), "google_id")
     last = own.groupBy("duplicate_group_id").agg(F.max(F.col("google_id").cast("long")).cast("string").alias("google_id"))
-    return g.join(last, "google_id", "left_anti")
+    return cut(g.join(last, "google_id", "left_anti"), "partial_gold")
 
 
 def _groups(spark, sf):
-    return duplicates.duplicate_groups(tables.listings(spark, sf), _partial_gold(spark, sf))
+    """Duplicate groups and the gold they were made with."""
+    gold = _partial_gold(spark, sf)
+    return cut(duplicates.duplicate_groups(tables.listings(spark, sf), gold), "groups"), gold
 
 
 @query
 def exact_duplicate_groups(spark, sf):
-    return _groups(spark, sf).select("google_id", "duplicate_group_id", "duplicate_group_size")
+    own = duplicates.signatures(tables.listings(spark, sf))
+    sizes = own.groupBy("duplicate_group_id").agg(F.count(F.lit(1)).alias("duplicate_group_size"))
+    return own.join(sizes, "duplicate_group_id").select("google_id", "duplicate_group_id", "duplicate_group_size")
 
 
 @query
 def duplicate_summary(spark, sf):
-    own = _groups(spark, sf)
+    own, _ = _groups(spark, sf)
     many = F.col("duplicate_group_size") > 1
     sizes = own.groupBy("duplicate_group_id").agg(F.count(F.lit(1)).alias("duplicate_group_size"), F.count_if("ambiguous_label").alias("ambiguous"))
     return sizes.agg(
@@ -118,17 +123,17 @@ def duplicate_summary(spark, sf):
 
 @query
 def ambiguous_members(spark, sf):
-    return _groups(spark, sf).filter("ambiguous_label").select("google_id", "duplicate_group_id")
+    return _groups(spark, sf)[0].filter("ambiguous_label").select("google_id", "duplicate_group_id")
 
 
 @query
 def connected_components(spark, sf):
-    return duplicates.entity_components(_groups(spark, sf), _partial_gold(spark, sf))
+    return duplicates.entity_components(*_groups(spark, sf))
 
 
 @query
 def component_labels(spark, sf):
-    return duplicates.component_labels(duplicates.entity_components(_groups(spark, sf), _partial_gold(spark, sf))).select("google_id", "component_id")
+    return duplicates.component_labels(duplicates.entity_components(*_groups(spark, sf))).select("google_id", "component_id")
 
 
 @query
@@ -247,7 +252,9 @@ def manufacturer_fuzzy(spark, sf):
 
 @query
 def title_fuzzy(spark, sf):
-    return rounded(_gold_texts(spark, sf).select("google_id", "amazon_id", token_set_similarity(text.normalized(F.col("left")), text.normalized(F.col("right"))).alias("similarity")))
+    """Part names against their kind and last word: sets that share one word or more."""
+    pairs = _part_names(spark, sf).select("p_name", F.concat_ws(" ", "kind", F.split_part("p_name", F.lit(" "), F.lit(-1))).alias("other"))
+    return rounded(pairs.select("p_name", "other", token_set_similarity(F.col("p_name"), F.col("other")).alias("similarity")))
 
 
 # --- ranking ---

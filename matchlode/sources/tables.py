@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..operators.containment import contained
+from ..storage import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows  # long texts: work on them is worth a shuffle
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
