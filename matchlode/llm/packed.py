@@ -10,15 +10,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .scan import mix
 
+#: The fewest buckets; clusters with more shuffle partitions get more.
 BUCKETS = 1024
 
 
-def bucket_of(key: np.ndarray) -> np.ndarray:
-    return (mix(key.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(BUCKETS)).astype(np.int32)
+def bucket_count(spark: SparkSession) -> int:
+    """Several buckets a shuffle partition, so that partitions are even and grow in number with the cluster's setting."""
+    return max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(buckets)).astype(np.int32)
 
 
 def schema(columns: int) -> str:
@@ -29,7 +35,7 @@ def pack(kind: int, bucket: np.ndarray, arrays: list[np.ndarray], columns: int)
     """Rows (kind, bucket, bytes of each array); unused columns are null."""
     if not len(bucket):
         return
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")  # 16 bits: by radix
     bucket = bucket[order]
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     ends = np.r_[edges[1:], len(bucket)]

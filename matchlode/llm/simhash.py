@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .packed import bucket_of, dealt, gather, pack, runs, schema, unpack
+from .packed import bucket_count, bucket_of, dealt, gather, pack, runs, schema, unpack
 from .shared import cut
 
 HELD = 1 << 21
@@ -86,14 +86,14 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _balls(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Every word within 1 bit, and which bit it was."""
     step = HELD // len(RADIUS_1)
     for batch in batches:
         fp = _column(batch, "fp").view(U8)
         for lo in range(0, len(fp), step):
             v = (fp[lo : lo + step, None] ^ RADIUS_1).ravel()
-            yield from pack(0, bucket_of(v), [v, np.tile(np.arange(len(RADIUS_1), dtype=np.uint8), len(v) // len(RADIUS_1))], 2)
+            yield from pack(0, bucket_of(v, buckets), [v, np.tile(np.arange(len(RADIUS_1), dtype=np.uint8), len(v) // len(RADIUS_1))], 2)
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -114,7 +114,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
 
 
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _halves(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Variants of both halves with the components that have them, each once a task's block."""
     step = HELD // (2 * len(HALF_1))
     for batch in batches:
@@ -127,7 +127,7 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.tile(np.repeat(own, len(HALF_1)), 2)
             order = np.lexsort((own, key))
             once = order[runs(key[order], own[order])]
-            yield from pack(0, bucket_of(key[once]), [key[once], own[once].view(U8)], 2)
+            yield from pack(0, bucket_of(key[once], buckets), [key[once], own[once].view(U8)], 2)
 
 
 def _half(half: np.ndarray, side: int) -> np.ndarray:
@@ -147,13 +147,13 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found.view(I8))], names=["comp"])
 
 
-def _wide_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wide_balls(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     step = HELD // len(RADIUS_2)
     for batch in batches:
         fp = _column(batch, "fp").view(U8)
         for lo in range(0, len(fp), step):
             v = (fp[lo : lo + step, None] ^ RADIUS_2).ravel()
-            yield from pack(0, bucket_of(v), [v, np.tile(np.arange(len(RADIUS_2), dtype=np.uint16), len(v) // len(RADIUS_2))], 2)
+            yield from pack(0, bucket_of(v, buckets), [v, np.tile(np.arange(len(RADIUS_2), dtype=np.uint16), len(v) // len(RADIUS_2))], 2)
 
 
 def _wide_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +178,12 @@ def _wide_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_components(nodes: DataFrame) -> DataFrame:
     """fp, comp (a fingerprint of the component) for distinct fingerprints fp, linked at 3 bits or fewer."""
-    one = connected_components(dealt(nodes.mapInArrow(_balls, schema(2))).mapInArrow(_stars, "a long, b long"))
+    buckets = bucket_count(nodes.sparkSession)
+    one = connected_components(dealt(nodes.mapInArrow(partial(_balls, buckets=buckets), schema(2))).mapInArrow(_stars, "a long, b long"))
     first = cut(nodes.join(one, nodes.fp == one.node, "left").select("fp", F.coalesce("component", "fp").alias("comp")), "near2")
-    mixed = dealt(first.mapInArrow(_halves, schema(2))).mapInArrow(_mixed, "comp long").distinct()
+    mixed = dealt(first.mapInArrow(partial(_halves, buckets=buckets), schema(2))).mapInArrow(_mixed, "comp long").distinct()
     open_ = first.join(mixed, "comp", "left_semi").select("fp", "comp")
-    links = dealt(open_.select("fp").mapInArrow(_wide_balls, schema(2))).mapInArrow(_wide_stars, "a long, b long")
+    links = dealt(open_.select("fp").mapInArrow(partial(_wide_balls, buckets=buckets), schema(2))).mapInArrow(_wide_stars, "a long, b long")
     for side in ("a", "b"):  # links of fingerprints are links of their components
         links = links.join(first.select(F.col("fp").alias(side), F.col("comp").alias(f"comp_{side}")), side)
     two = connected_components(links.filter("comp_a <> comp_b"), "comp_a", "comp_b")

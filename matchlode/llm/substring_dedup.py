@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import bucket_of, dealt, gather, pack, runs, schema, unpack
+from .packed import bucket_count, bucket_of, dealt, gather, pack, runs, schema, unpack
 from .scan import Block, blocks, grams, sliding_min
 from .shared import cut
 
@@ -45,7 +45,7 @@ def _windows(b: Block, width: int, seed: int) -> tuple[np.ndarray, ...]:
     return edge[whole], least[whole], row[whole], at[whole]
 
 
-def _minimisers(width: int, seed: int):
+def _minimisers(width: int, seed: int, buckets: int):
     def send(held: list) -> Iterator[pa.RecordBatch]:
         h, doc = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h, kind="stable")
@@ -53,9 +53,9 @@ def _minimisers(width: int, seed: int):
         at = runs(h)
         lo, hi = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
         first = at[by := np.argsort(lo, kind="stable")]
-        yield from pack(0, bucket_of(h[first]), [h[first], lo[by]], 2)
+        yield from pack(0, bucket_of(h[first], buckets), [h[first], lo[by]], 2)
         both = np.repeat(lo < hi, np.diff(np.r_[at, len(h)]))
-        yield from pack(1, bucket_of(doc[both]), [h[both], doc[both]], 2)
+        yield from pack(1, bucket_of(doc[both], buckets), [h[both], doc[both]], 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -108,15 +108,15 @@ def _sources(edge, doc, at) -> tuple[np.ndarray, ...]:
     return doc[lead], at[lead]
 
 
-def _edges(width: int, seed: int):
+def _edges(width: int, seed: int, buckets: int):
     def send(held: list) -> Iterator[pa.RecordBatch]:
         edge, h, doc, at = (np.concatenate(x) for x in zip(*held))
         sdoc, sat = _sources(edge, doc, at)
         found = sdoc < doc
         parts = _paths(doc[found], at[found], sdoc[found], sat[found])
-        yield from pack(1, bucket_of(parts[0]), parts, 5)
+        yield from pack(1, bucket_of(parts[0], buckets), parts, 5)
         left = ~found
-        yield from pack(0, bucket_of(h[left]), [edge[left], doc[left], at[left]], 5)
+        yield from pack(0, bucket_of(h[left], buckets), [edge[left], doc[left], at[left]], 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -233,13 +233,14 @@ def remove_repeated_spans(docs: DataFrame, width: int = 13, seed: int = 6) -> Da
     if not 1 <= seed <= width:
         raise ValueError("seed must be from 1 to width")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    buckets = bucket_count(docs.sparkSession)
     known = (
-        dealt(rows.filter("doc_id IS NOT NULL").mapInArrow(_minimisers(width, seed), schema(2)))
+        dealt(rows.filter("doc_id IS NOT NULL").mapInArrow(_minimisers(width, seed, buckets), schema(2)))
         .mapInArrow(_shared, "doc_id long, h long")
         .groupBy("doc_id")
         .agg(F.collect_list("h").alias("known"))
     )
-    edges = rows.join(known, "doc_id").mapInArrow(_edges(width, seed), schema(5))
+    edges = rows.join(known, "doc_id").mapInArrow(_edges(width, seed, buckets), schema(5))
     paths = cut(dealt(edges).mapInArrow(_compact, "doc_id long, at long, n long, sdoc long, sat long"), "paths")
     asked = paths.select("sdoc", "sat", "n").distinct().groupBy("sdoc").agg(F.collect_list(F.struct("sat", "n")).alias("asked"))
     # Both joins with texts are outer ones over the same rows, so that they read one exchange; rows without id are spread by their text.

@@ -150,3 +150,33 @@ def test_mixing_without_words(frame):
 def test_mixing_repeated_rows(frame):
     got = mix_sources(frame([(1, "a b", None, "s")] * 4 + [(None, "c", None, "s")])).collect()
     assert len(got) == 5 and sum(r.taken for r in got) == 9
+
+
+CLASHING = ("h", "key", "bucket", "kind", "fp", "version", "draw", "size", "copies", "known", "paths", "spread", "held_out", "text_to_scan", "id", "media", "ids", "keep_0", "digest")
+
+
+def test_clashing_columns_and_partitions_change_nothing(frame, spark):
+    from pyspark.sql import functions as F
+
+    from matchlode.llm import language_model, line_dedup, media, substring_dedup
+
+    rows = [(i, f"line {i % 5} a b c\nsecond {i % 3} d e f g\nthird\n" + "w " * (i % 20), "en", f"s{i % 4}") for i in range(60)]
+    plain, more = frame(rows), frame(rows).repartition(7)
+    for c in CLASHING:
+        more = more.withColumn(c, F.lit(f"x {c}"))
+    makers = {
+        "spans": substring_dedup.remove_repeated_spans,
+        "lines": line_dedup.remove_repeated_lines,
+        "groups": exact_groups,
+        "mix": mix_sources,
+        "near": near_duplicates,
+        "model": language_model.score_documents,
+        "media": lambda d: media.store_audio(d),
+    }
+    for name, make in makers.items():
+        assert sorted(map(str, make(plain).collect())) == sorted(map(str, make(more).collect())), name
+    spark.conf.set("spark.sql.shuffle.partitions", "300")  # more buckets
+    try:
+        assert sorted(map(str, substring_dedup.remove_repeated_spans(plain).coalesce(1).collect())) == sorted(map(str, substring_dedup.remove_repeated_spans(more).coalesce(1).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
