@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 from pyarrow import fs as arrow_fs
@@ -134,15 +136,21 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     system.move(part, f"{path}/{name}")
 
 
-def map_arrays(folder: str, name: str, local: str | None = None) -> dict[str, np.ndarray] | None:
-    """Memory-mapped arrays of a file; from other than local file systems it is copied to `local` first."""
+@cache
+def _local_copies() -> str:
+    return tempfile.mkdtemp(prefix="matchlode-mapped-")
+
+
+def map_arrays(folder: str, name: str) -> dict[str, np.ndarray] | None:
+    """Memory-mapped arrays of a file; from other than local file systems it is copied next to the process first."""
     system, path = arrow_fs.FileSystem.from_uri(folder)
     path = f"{path}/{name}"
     if system.get_file_info(path).type != arrow_fs.FileType.File:
         return None
     if not isinstance(system, arrow_fs.LocalFileSystem):
-        arrow_fs.copy_files(path, f"{local}/{name}", source_filesystem=system, destination_filesystem=arrow_fs.LocalFileSystem())
-        path = f"{local}/{name}"
+        local = f"{_local_copies()}/{folder.rpartition('/')[2]}-{name}"
+        arrow_fs.copy_files(path, local, source_filesystem=system, destination_filesystem=arrow_fs.LocalFileSystem())
+        path = local
     data = np.memmap(path, np.uint8, "r").view(np.ndarray)
     size = int(data[:8].view(np.uint64)[0])
     return {k: data[8 + size + at : 8 + size + at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in json.loads(bytes(data[8 : 8 + size])).items()}

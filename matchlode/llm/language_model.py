@@ -18,7 +18,6 @@ words are unknown. Other columns are ignored.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,10 +112,9 @@ class Words:
     def __init__(self, folder: str, bases: list[int], tokens: int):
         self.folder, self.bases, self.shards, self.tokens = folder, bases, len(bases) - 1, tokens
         self.size = bases[-1]
-        self.local = tempfile.mkdtemp(prefix="matchlode-lm-")
         self.parts = []
         for s in range(self.shards):
-            arrays = map_arrays(folder, f"words-{s}", self.local) if bases[s + 1] > bases[s] else None
+            arrays = map_arrays(folder, f"words-{s}") if bases[s + 1] > bases[s] else None
             self.parts.append((EliasFano(arrays, "hash"), arrays["count"]) if arrays else None)
         self.pairs: dict[int, tuple] = {}
 
@@ -146,7 +144,7 @@ class Words:
 
     def level2(self, shard: int):
         if shard not in self.pairs:
-            arrays = map_arrays(self.folder, f"pairs-{shard}", self.local)
+            arrays = map_arrays(self.folder, f"pairs-{shard}")
             self.pairs[shard] = (EliasFano(arrays, "pointer"), EliasFano(arrays, "successor"), arrays["code"], float(arrays["discount"][0])) if arrays else None
         return self.pairs[shard]
 
