@@ -106,13 +106,12 @@ def remove_repeated_lines(docs: DataFrame, *keep: str) -> DataFrame:
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), *(F.col(c).alias(n) for c, n in zip(keep, names)), F.xxhash64(text).alias("version"), text.alias("text"))
-    bare = rows.select("id", "version", "text")
-    found = cut(bare.filter("id IS NOT NULL").mapInArrow(_hashes, "h long, id long, version long, n long").distinct(), "chunks")  # equal rows are one document
+    found = cut(rows.select("id", "version", "text").filter("id IS NOT NULL").mapInArrow(_hashes, "h long, id long, version long, n long").distinct(), "chunks")  # equal rows are one document
     # A table of its own: a join with it can split a hash that very many documents have.
     again = cut(found.groupBy("h").agg(F.sum("n").alias("times")).filter("times > 1").select("h"), "again")
     known = cut(found.join(again, "h").groupBy("id", "version").agg(F.collect_list("h").alias("hs")), "repeated")
-    # Both joins with texts are outer ones over the same rows, so that they read one exchange.
-    places = bare.join(known, ["id", "version"], "left").mapInArrow(_repeated, "h long, chunk binary, id long, version long, place long")
+    # Both joins with texts are outer ones over the same rows and columns, so that they read one exchange.
+    places = rows.join(known, ["id", "version"], "left").mapInArrow(_repeated, "h long, chunk binary, id long, version long, place long")
     first = places.groupBy("h", "chunk").agg(F.min(F.struct("id", "version", "place")).alias("f"))
     stay = first.groupBy(F.col("f.id").alias("id"), F.col("f.version").alias("version")).agg(F.collect_list("f.place").alias("stay"))
     marks = known.join(stay, ["id", "version"], "left")
