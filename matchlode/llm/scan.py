@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 WORD = np.ones(256, bool)
 WORD[[0x20, 9, 10, 11, 12, 13]] = False
 LOWER = np.arange(256, dtype=np.uint8)

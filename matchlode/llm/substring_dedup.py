@@ -28,7 +28,7 @@ from .scan import Block, blocks, grams, sliding_min
 from .shared import cut
 
 #: Entries that a task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 I8, U8 = np.int64, np.uint64
 
 
