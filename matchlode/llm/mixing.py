@@ -44,14 +44,16 @@ def targets(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     return reached.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("fill") * F.col("weight")).cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, max_epochs: float = 3.0, seed: int = 42) -> DataFrame:
+def mix_sources(docs: DataFrame, max_epochs: float = 3.0, seed: int = 42, key: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per row of docs.
 
     copies is how often the mix takes the document, taken its words with repeats. A source's taken
-    words differ from its target by at most half of one of its documents.
+    words differ from its target by at most half of one of its documents. A column named as key tells rows
+    of equal doc_id and size apart and comes last.
     """
+    own = [] if key is None else ["row_key"]
     rows = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),
+        docs.select(*(F.col(key).alias(n) for n in own), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),
         "sizes",
     ).withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     rows = rows.withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS))
@@ -60,15 +62,15 @@ def mix_sources(docs: DataFrame, max_epochs: float = 3.0, seed: int = 42) -> Dat
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
     plan = buckets.alias("b").join(totals.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "b.bucket", "ahead", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     left = F.col("target") - F.col("whole") * F.col("source_size")
     return (
-        joined.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "ahead", "before", whole.cast("long").alias("whole"))
+        joined.select(*own, "doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", "ahead", "before", whole.cast("long").alias("whole"))
         .withColumn("copies", F.col("whole") + (F.col("ahead") + F.col("before") + F.col("size") / 2 < left).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(F.col(n).alias(key) for n in own))
     )
 
 

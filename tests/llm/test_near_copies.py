@@ -9,7 +9,7 @@ import corpus_pipeline
 from matchlode.llm import near_copies
 from matchlode.llm.scan import blocks
 from matchlode.llm.simhash import shingles
-from tests.llm.test_groups_and_mixing import roots
+from tests.llm.test_groups_and_mixing import brute_targets, roots
 
 
 def copy_rows():
@@ -67,3 +67,13 @@ def test_links_of_one_large_group():
     root = roots([frozenset(members[s].tolist()) for s in names], linked)
     assert len(set(zip(root, map(links.find, names)))) == len(set(root)) == len(set(map(links.find, names)))
     assert len(links.edges) == len(names) - len(set(root))
+
+
+def test_repeated_rows_are_mixed_one_by_one(frame, spark):
+    rows = [(1, "a b", None, "s1")] * 40 + [(2, "c " * 20, None, "s2"), (None, "d", None, "s1"), (None, "d", None, "s1")]
+    sizes = {"s1": 82, "s2": 20}
+    taken = {"s1": 0, "s2": 0}
+    for r in corpus_pipeline.mixture(spark, frame(rows), "").collect():
+        taken[r.source] += len(r.text.split())
+    for s, want in brute_targets(sizes).items():
+        assert abs(taken[s] - want) <= (2 if s == "s1" else 20)
