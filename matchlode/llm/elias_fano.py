@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
-from functools import cache
 
 import numpy as np
 from pyarrow import fs as arrow_fs
@@ -136,21 +134,54 @@ def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     system.move(part, f"{path}/{name}")
 
 
-@cache
-def _local_copies() -> str:
-    return tempfile.mkdtemp(prefix="matchlode-mapped-")
+def remove_folder(folder: str) -> None:
+    system, path = arrow_fs.FileSystem.from_uri(folder)
+    if system.get_file_info(path).type == arrow_fs.FileType.Directory:
+        system.delete_dir(path)
 
 
-def map_arrays(folder: str, name: str) -> dict[str, np.ndarray] | None:
-    """Memory-mapped arrays of a file; from other than local file systems it is copied next to the process first."""
-    system, path = arrow_fs.FileSystem.from_uri(folder)
-    path = f"{path}/{name}"
-    if system.get_file_info(path).type != arrow_fs.FileType.File:
-        return None
-    if not isinstance(system, arrow_fs.LocalFileSystem):
-        local = f"{_local_copies()}/{folder.rpartition('/')[2]}-{name}"
-        arrow_fs.copy_files(path, local, source_filesystem=system, destination_filesystem=arrow_fs.LocalFileSystem())
-        path = local
-    data = np.memmap(path, np.uint8, "r").view(np.ndarray)
+def _arrays(data: np.ndarray) -> dict[str, np.ndarray]:
     size = int(data[:8].view(np.uint64)[0])
     return {k: data[8 + size + at : 8 + size + at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in json.loads(bytes(data[8 : 8 + size])).items()}
+
+
+class Shelf:
+    """Arrays of the files in a folder, each memory-mapped when first asked for.
+
+    Files of file systems that cannot be mapped are read whole, and those longest unused are let go
+    so that at most `limit` bytes (and one file) are held.
+    """
+
+    def __init__(self, folder: str, limit: int = 1 << 29):
+        self.system, self.path = arrow_fs.FileSystem.from_uri(folder)
+        self.near, self.limit, self.held = isinstance(self.system, arrow_fs.LocalFileSystem), limit, 0
+        self.open: dict[str, tuple[dict[str, np.ndarray] | None, int]] = {}
+
+    def get(self, name: str) -> dict[str, np.ndarray] | None:
+        """None: there is no such file."""
+        if name in self.open:
+            if not self.near:
+                self.open[name] = self.open.pop(name)  # the latest used comes last
+            return self.open[name][0]
+        path = f"{self.path}/{name}"
+        info = self.system.get_file_info(path)
+        if info.type != arrow_fs.FileType.File:
+            self.open[name] = None, 0
+        elif self.near:
+            self.open[name] = _arrays(np.memmap(path, np.uint8, "r").view(np.ndarray)), 0
+        else:
+            for old, (_, size) in list(self.open.items()):
+                if self.held + info.size <= self.limit:
+                    break
+                if size:
+                    del self.open[old]
+                    self.held -= size
+            with self.system.open_input_stream(path) as f:
+                self.open[name] = _arrays(np.frombuffer(f.readall(), np.uint8)), info.size
+            self.held += info.size
+        return self.open[name][0]
+
+
+def map_arrays(folder: str, name: str) -> dict[str, np.ndarray] | None:
+    """Arrays of one file."""
+    return Shelf(folder).get(name)

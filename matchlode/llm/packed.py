@@ -64,18 +64,23 @@ def unpack(rows: list[tuple], types: list) -> list[np.ndarray]:
     return [np.concatenate([_cell(r[i], t) for r in rows]) if rows else np.zeros(0, t) for i, t in enumerate(types)]
 
 
-def gather(batches: Iterator[pa.RecordBatch], columns: int) -> dict[int, list[tuple]]:
-    """All rows of a partition by kind."""
-    out: dict[int, list[tuple]] = {}
+def by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, dict[int, list[tuple]]]]:
+    """Each bucket of a partition with its rows by kind, one at a time."""
+    own, rows = None, {}
     for b in batches:
-        cells = [b.column(i).to_pylist() for i in range(columns + 2)]
-        for row in zip(*cells):
-            out.setdefault(row[0], []).append(row[2:])
-    return out
-
-
-def dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("bucket")
+        for kind, bucket, *cells in zip(*(b.column(i).to_pylist() for i in range(columns + 2))):
+            if bucket != own and rows:
+                yield own, rows
+                rows = {}
+            own = bucket
+            rows.setdefault(kind, []).append(tuple(cells))
+    if rows:
+        yield own, rows
+
+
+def dealt(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Packed rows by bucket: each in one task, whose buckets follow each other; Spark's sort spills, and holds pointers alone."""
+    return (df.repartition(parts, "bucket") if parts else df.repartition("bucket")).sortWithinPartitions("bucket", "kind")
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:

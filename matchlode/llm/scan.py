@@ -11,19 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 2 << 20
 WORD = np.ones(256, bool)
 WORD[[0x20, 9, 10, 11, 12, 13]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_STEP = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
-    x = x ^ (x >> np.uint64(30))
+    x = x >> np.uint64(30) ^ x
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
@@ -31,28 +31,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the process."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        _powers[base] = have
-    return have[:n]
-
-
-def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair, from one prefix sum."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=total[1:])
-    back = powers(pow(base, -1, 1 << 64), len(values) + 1)
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+#: Odd multipliers of the two lanes of a word's hash, and of the windows over them.
+_LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_STEPS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x8EBC6AF09C88C6E3))
+_UPTO = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer ranges are hashed one by one.
+LONG = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int = 1) -> list[np.ndarray]:
+    """64 bits a lane of data[start:end] for each pair; two lanes are a 128-bit identity.
+
+    Eight bytes at a time are mixed into each lane, so that ranges of equal length up to eight bytes
+    never collide in one; ranges above LONG bytes take XXH3's 128 bits.
+    """
+    size = end - start
+    view = eights(data)
+    cell = view[start] & _UPTO[np.minimum(size, 8)]
+    length = size.astype(np.uint64)
+    out = [mix((cell ^ length * k) * k) for k in _LANES[:lanes]]
+    at = np.flatnonzero((size > 8) & (size <= LONG))
+    begin, left = start[at] + 8, size[at] - 8
+    while len(at):
+        cell = view[begin] & _UPTO[np.minimum(left, 8)]
+        for lane, k in zip(out, _LANES):
+            lane[at] = mix((lane[at] ^ cell) * k)
+        more = left > 8
+        at, begin, left = at[more], begin[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        whole = xxhash.xxh3_128_intdigest(data[start[i] : end[i]])
+        for j, lane in enumerate(out):
+            lane[i] = np.uint64(whole >> 64 * j & _MASK)
+    return out
 
 
 @dataclass
@@ -67,9 +83,9 @@ class Block:
     end: np.ndarray
     first: np.ndarray  # rows + 1: index of each row's first word
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        data = LOWER[self.data] if lower else self.data
-        return _ranges(_BYTE[data], self.start, self.end, _STEP) if len(self.start) else np.zeros(0, np.uint64)
+    def hashes(self, lower: bool = False, lanes: int = 1) -> list[np.ndarray]:
+        """Lanes of the words' hashes."""
+        return range_hashes(LOWER[self.data] if lower else self.data, self.start, self.end, lanes)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -79,12 +95,23 @@ class Block:
         return np.repeat(np.arange(self.hi - self.lo), self.counts())
 
 
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of words[i:i+n] for each i; at the end there are n - 1 fewer than words."""
+def grams(words: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+    """Hash of words[i:i+n] for each i; at the end there are n - 1 fewer than words.
+
+    A polynomial in one lane's step, put together from windows of doubling width.
+    """
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    at = np.arange(len(words) - n + 1)
-    return _ranges(words, at, at + n, 0xC2B2AE3D27D4EB4F)
+    power, done, have, width = words, None, 0, 1
+    factor = int(_STEPS[lane])
+    while True:
+        if n & width:
+            done = power if done is None else done[: len(power) - have] * np.uint64(factor) + power[have:]
+            have += width
+        if have == n:
+            return mix(done[: len(words) - n + 1] + np.uint64(n))
+        power = power[: len(power) - width] * np.uint64(factor) + power[width:]
+        width, factor = 2 * width, factor * factor & _MASK
 
 
 def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .packed import bucket_count, bucket_of, dealt, gather, pack, runs, schema, unpack
+from .packed import bucket_count, bucket_of, by_bucket, dealt, pack, runs, schema, unpack
 from .shared import cut
 
 HELD = 1 << 21
@@ -102,16 +102,17 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An edge from each member of a word's ball of radius 1 to the least member."""
-    v, bit = unpack(gather(batches, 2).get(0, []), [U8, np.uint8])
-    order = np.argsort(v, kind="stable")
-    v, fp = v[order], v[order] ^ RADIUS_1[bit[order]]
-    at = runs(v)
-    n = np.diff(np.r_[at, len(v)])
-    lead = np.repeat(np.minimum.reduceat(fp, at), n) if len(at) else fp
-    linked = fp != lead
-    if linked.any():
-        pairs = np.unique(np.stack([fp[linked], lead[linked]], 1), axis=0)
-        yield _edges(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+    for _, rows in by_bucket(batches, 2):
+        v, bit = unpack(rows[0], [U8, np.uint8])
+        order = np.argsort(v, kind="stable")
+        v, fp = v[order], v[order] ^ RADIUS_1[bit[order]]
+        at = runs(v)
+        n = np.diff(np.r_[at, len(v)])
+        lead = np.repeat(np.minimum.reduceat(fp, at), n) if len(at) else fp
+        linked = fp != lead
+        if linked.any():
+            pairs = np.unique(np.stack([fp[linked], lead[linked]], 1), axis=0)
+            yield _edges(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
 
 
 def _halves(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -136,15 +137,16 @@ def _half(half: np.ndarray, side: int) -> np.ndarray:
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Components that share a half's variant with another component."""
-    key, comp = unpack(gather(batches, 2).get(0, []), [U8, U8])
-    order = np.lexsort((comp, key))
-    key, comp = key[order], comp[order]
-    at = runs(key)
-    if len(at):
-        n = np.diff(np.r_[at, len(key)])
-        last = comp[at + n - 1]
-        found = np.unique(comp[np.repeat(comp[at] != last, n)])
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(I8))], names=["comp"])
+    for _, rows in by_bucket(batches, 2):
+        key, comp = unpack(rows[0], [U8, U8])
+        order = np.lexsort((comp, key))
+        key, comp = key[order], comp[order]
+        at = runs(key)
+        if len(at):
+            n = np.diff(np.r_[at, len(key)])
+            last = comp[at + n - 1]
+            found = np.unique(comp[np.repeat(comp[at] != last, n)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(I8))], names=["comp"])
 
 
 def _wide_balls(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -158,22 +160,23 @@ def _wide_balls(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
 
 def _wide_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An edge from each member of a word's ball to one of those within 1 bit, if there is any."""
-    v, flip = unpack(gather(batches, 2).get(0, []), [U8, np.uint16])
-    order = np.argsort(v, kind="stable")
-    v, flip = v[order], flip[order]
-    same = v[1:] == v[:-1]
-    keep = np.r_[same, False] | np.r_[False, same] if len(v) else np.zeros(0, bool)
-    v, flip = v[keep], flip[keep].astype(I8)
-    fp = v ^ RADIUS_2[flip]
-    order = np.lexsort((fp, flip >= len(RADIUS_1), v))
-    v, fp, close = v[order], fp[order], flip[order] < len(RADIUS_1)
-    at = runs(v)
-    n = np.diff(np.r_[at, len(v)])
-    lead = np.repeat(fp[at], n)
-    linked = (fp != lead) & np.repeat(close[at], n)
-    if linked.any():
-        pairs = np.unique(np.stack([fp[linked], lead[linked]], 1), axis=0)
-        yield _edges(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+    for _, rows in by_bucket(batches, 2):
+        v, flip = unpack(rows[0], [U8, np.uint16])
+        order = np.argsort(v, kind="stable")
+        v, flip = v[order], flip[order]
+        same = v[1:] == v[:-1]
+        keep = np.r_[same, False] | np.r_[False, same] if len(v) else np.zeros(0, bool)
+        v, flip = v[keep], flip[keep].astype(I8)
+        fp = v ^ RADIUS_2[flip]
+        order = np.lexsort((fp, flip >= len(RADIUS_1), v))
+        v, fp, close = v[order], fp[order], flip[order] < len(RADIUS_1)
+        at = runs(v)
+        n = np.diff(np.r_[at, len(v)])
+        lead = np.repeat(fp[at], n)
+        linked = (fp != lead) & np.repeat(close[at], n)
+        if linked.any():
+            pairs = np.unique(np.stack([fp[linked], lead[linked]], 1), axis=0)
+            yield _edges(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
 
 
 def fingerprint_components(nodes: DataFrame) -> DataFrame:

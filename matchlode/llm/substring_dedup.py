@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import bucket_count, bucket_of, dealt, gather, pack, runs, schema, unpack
+from .packed import bucket_count, bucket_of, by_bucket, dealt, pack, runs, schema, unpack
 from .scan import Block, blocks, grams, sliding_min
 from .shared import cut
 
@@ -33,16 +33,16 @@ I8, U8 = np.int64, np.uint64
 
 
 def _windows(b: Block, width: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Of each whole window of a row: hash, minimiser, row, place of its first word in the row."""
-    words = b.hashes()
-    edge = grams(words, width)
+    """Of each whole window of a row: both lanes of its hash, minimiser, row, place of its first word in the row."""
+    words, more = b.hashes(lanes=2)
+    edge, edge2 = grams(words, width), grams(more, width, 1)
     if not len(edge):
-        return np.zeros(0, U8), np.zeros(0, U8), np.zeros(0, I8), np.zeros(0, I8)
+        return edge, edge2, edge, np.zeros(0, I8), np.zeros(0, I8)
     row = b.rows()[: len(edge)]
     at = np.arange(len(edge)) - b.first[row]
     least = sliding_min(grams(words, seed), width - seed + 1)[: len(edge)]
     whole = np.arange(len(edge)) + width <= b.first[row + 1]
-    return edge[whole], least[whole], row[whole], at[whole]
+    return edge[whole], edge2[whole], least[whole], row[whole], at[whole]
 
 
 def _minimisers(width: int, seed: int, buckets: int):
@@ -62,7 +62,7 @@ def _minimisers(width: int, seed: int, buckets: int):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(I8)
             for b in blocks(batch.column("text")):
-                _, h, row, _ = _windows(b, width, seed)
+                _, _, h, row, _ = _windows(b, width, seed)
                 first = runs(row, h)
                 held.append((h[first], ids[b.lo + row[first]]))
                 n += len(first)
@@ -77,17 +77,17 @@ def _minimisers(width: int, seed: int, buckets: int):
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, h) for each minimiser h that another document holds too."""
-    rows = gather(batches, 2)
-    h, doc = unpack(rows.get(0, []), [U8, I8])
-    order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    at = runs(h)
-    many = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
-    many = np.repeat(many, np.diff(np.r_[at, len(h)]))
-    found = unpack(rows.get(1, []), [U8, I8])
-    for x, d in ((h[many], doc[many]), found):
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(x.view(I8))], names=["doc_id", "h"])
+    for _, rows in by_bucket(batches, 2):
+        h, doc = unpack(rows.get(0, []), [U8, I8])
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        at = runs(h)
+        many = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
+        many = np.repeat(many, np.diff(np.r_[at, len(h)]))
+        found = unpack(rows.get(1, []), [U8, I8])
+        for x, d in ((h[many], doc[many]), found):
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(x.view(I8))], names=["doc_id", "h"])
 
 
 def _paths(doc, at, sdoc, sat) -> list[np.ndarray]:
@@ -99,10 +99,13 @@ def _paths(doc, at, sdoc, sat) -> list[np.ndarray]:
     return [doc[first], at[first], np.diff(np.r_[first, len(doc)]), sdoc[first], sat[first]]
 
 
-def _sources(edge, doc, at) -> tuple[np.ndarray, ...]:
+def _sources(edge, edge2, doc, at) -> tuple[np.ndarray, ...]:
     """For each entry, doc and place of the edge's first entry in the smallest doc."""
     order = np.lexsort((doc, edge))
-    first = runs(edge[order])
+    x, y = edge[order], edge2[order]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():  # half of the identity is shared by two edges
+        order = np.lexsort((doc, edge2, edge))
+    first = runs(edge[order], edge2[order])
     lead = np.empty(len(edge), I8)
     lead[order] = np.repeat(order[first], np.diff(np.r_[first, len(edge)]))
     return doc[lead], at[lead]
@@ -110,13 +113,13 @@ def _sources(edge, doc, at) -> tuple[np.ndarray, ...]:
 
 def _edges(width: int, seed: int, buckets: int):
     def send(held: list) -> Iterator[pa.RecordBatch]:
-        edge, h, doc, at = (np.concatenate(x) for x in zip(*held))
-        sdoc, sat = _sources(edge, doc, at)
+        edge, edge2, h, doc, at = (np.concatenate(x) for x in zip(*held))
+        sdoc, sat = _sources(edge, edge2, doc, at)
         found = sdoc < doc
         parts = _paths(doc[found], at[found], sdoc[found], sat[found])
         yield from pack(1, bucket_of(parts[0], buckets), parts, 5)
         left = ~found
-        yield from pack(0, bucket_of(h[left], buckets), [edge[left], doc[left], at[left]], 5)
+        yield from pack(0, bucket_of(h[left], buckets), [edge[left], edge2[left], doc[left], at[left]], 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -127,12 +130,12 @@ def _edges(width: int, seed: int, buckets: int):
             of = np.repeat(np.arange(len(known)), np.asarray(known.value_lengths()))
             salt = U8(0x9FB21C651E98DF25)
             for b in blocks(batch.column("text")):
-                edge, h, row, at = _windows(b, width, seed)
+                edge, edge2, h, row, at = _windows(b, width, seed)
                 own = (of >= b.lo) & (of < b.hi)
                 keep = np.isin(h ^ row.astype(U8) * salt, marks[own] ^ (of[own] - b.lo).astype(U8) * salt)
                 row = row[keep]
                 tag = np.array([_tag(b.data[i:j]) for i, j in zip(b.offsets, b.offsets[1:])], I8)
-                held.append((edge[keep], h[keep], ids[b.lo + row], at[keep] + tag[row]))
+                held.append((edge[keep], edge2[keep], h[keep], ids[b.lo + row], at[keep] + tag[row]))
                 n += len(row)
                 if n >= HELD:
                     yield from send(held)
@@ -149,13 +152,13 @@ def _tag(text) -> int:
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = gather(batches, 5)
-    edge, doc, at = unpack(rows.get(0, []), [U8, I8, I8])
-    sdoc, sat = _sources(edge, doc, at) if len(edge) else (doc, at)
-    found = sdoc < doc
-    for parts in (_paths(doc[found], at[found], sdoc[found], sat[found]), unpack(rows.get(1, []), [I8] * 5)):
-        if len(parts[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["doc_id", "at", "n", "sdoc", "sat"])
+    for _, rows in by_bucket(batches, 5):
+        edge, edge2, doc, at = unpack(rows.get(0, []), [U8, U8, I8, I8])
+        sdoc, sat = _sources(edge, edge2, doc, at) if len(edge) else (doc, at)
+        found = sdoc < doc
+        for parts in (_paths(doc[found], at[found], sdoc[found], sat[found]), unpack(rows.get(1, []), [I8] * 5)):
+            if len(parts[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["doc_id", "at", "n", "sdoc", "sat"])
 
 
 def _lists(column: pa.Array) -> list[list[tuple]]:

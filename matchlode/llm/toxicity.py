@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .scan import _BYTE, _STEP, LOWER, Block, _ranges, blocks, mix
+from .scan import LOWER, Block, blocks, mix, range_hashes
 
 #: The most labelled rows, and bytes of their texts, that are learned from: the first by a hash of doc_id.
 SAMPLE_ROWS, SAMPLE_BYTES = 8000, 24 << 20
@@ -38,9 +38,9 @@ PIECE = 1 << 17
 
 def word_features(b: Block) -> np.ndarray:
     """Buckets of each word: its own and those of its prefixes, (words, 1 + len(PREFIXES))."""
-    values = _BYTE[LOWER[b.data]]
+    data = LOWER[b.data]
     ends = [b.end, *(np.minimum(b.start + n, b.end) for n in PREFIXES)]
-    found = [_ranges(values, b.start, e, _STEP) if len(b.start) else np.zeros(0, np.uint64) for e in ends]
+    found = [range_hashes(data, b.start, e)[0] for e in ends]
     return np.stack([(mix(h + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int32) for k, h in enumerate(found)], 1)
 
 

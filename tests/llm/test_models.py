@@ -52,49 +52,120 @@ def model_rows(n=120):
     return rows + [(500, None), (501, "A a \n b"), (502, "é É"), (None, "w1 w2"), (7, "w1")]
 
 
-def brute_counts(rows):
+def brute_model(rows, order, least):
+    """Exact (n_tokens, n_known, N, base_score, score) of each row by counting tuples of words."""
     tokens = [(t or "").encode().lower().split() + [None] for _, t in rows]
     learned = [x for (d, _), x in zip(rows, tokens) if d is not None and zlib.crc32(str(d).encode()) % 10]
     one, two = Counter(w for x in learned for w in x), Counter(p for x in learned for p in zip([None, *x], x))
-    return tokens, one, two
+    three = Counter(p for x in learned for p in zip([None, *x], x, x[1:]))
+    n, v = sum(one.values()), len(one)
+    p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def rate(c):
+        ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+        return min(0.99, max(0.1, ones / (ones + 2 * twos) if ones else 0.5))
+
+    d2, d3, kinds = rate(two), rate(three), Counter(u for u, _ in two)
+    kept, taken = {k: c for k, c in three.items() if c >= least}, Counter()
+    for k, c in kept.items():
+        taken[k[:2]] += c - d3
 
+    def p2(u, w):
+        return p1(w) if u not in one else (max(0, two[u, w] - d2) + d2 * kinds[u] * p1(w)) / one[u]
 
-@pytest.mark.parametrize("slices", [1, 3])
-def test_language_model(frame, spark, slices):
+    def p3(u, v, w):
+        if order < 3 or (u, v) not in taken:
+            return p2(v, w)
+        return (kept.get((u, v, w), d3) - d3) / two[u, v] + (1 - taken[u, v] / two[u, v]) * p2(v, w)
+
+    out = []
+    for x in tokens:
+        p = [p2(None, x[0]), *(p3(*t) for t in zip([None, *x], x, x[1:]))]
+        out.append((len(x), sum(w in one for w in x), n, sum(math.log10(p1(w)) for w in x), sum(map(math.log10, p))))
+    return out
+
+
+def scored(df, *columns, **more):
+    return sorted((tuple(r[c] for c in columns) for r in score_documents(df, **more).collect()), key=str)
+
+
+@pytest.mark.parametrize(("order", "least", "cell_tokens"), [(3, 2, 1 << 21), (3, 1, 90), (2, 1, 200)])
+def test_language_model(frame, order, least, cell_tokens):
     rows = model_rows()
-    tokens, one, two = brute_counts(rows)
-    n, v = sum(one.values()), len(one)
-    base = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
-    got = sorted(score_documents(frame(rows), slices).collect(), key=lambda r: (str(r.doc_id), r.n_tokens, r.base_score))
-    want = sorted(((d, x) for (d, _), x in zip(rows, tokens)), key=lambda r: (str(r[0]), len(r[1]), sum(math.log10(base(w)) for w in r[1])))
-    for r, (d, x) in zip(got, want):
-        assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (d, len(x), sum(w in one for w in x), n)
-        assert r.base_score == pytest.approx(sum(math.log10(base(w)) for w in x), abs=1e-9)
+    got = {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r for r in score_documents(frame(rows), order, least, cell_tokens).collect()}
+    for (d, _), (n, known, total, base, score) in zip(rows, brute_model(rows, order, least)):
+        r = got[d, n, round(base, 6)]
+        assert (r.n_known, r.train_tokens) == (known, total) and r.base_score == pytest.approx(base, abs=1e-9)
+        assert r.score == pytest.approx(score, abs=3e-4 * n)  # quantisation
         assert r.held_out == (d is not None and zlib.crc32(str(d).encode()) % 10 == 0)
-    assert len(got) == len(rows)
-    # one more word after the same context: the model's probabilities sum to 1
-    space = [(w or b"").decode() for w in one if w is not None]
-    probes = [(10**6 + i, f"w1 {w}") for i, w in enumerate([*space, "never-seen"])] + [(10**7, "w1")]
-    probes = [(d, t) for d, t in probes if zlib.crc32(str(d).encode()) % 10 == 0]
-    assert all(math.isfinite(r.score) for r in score_documents(frame(rows + probes), slices).collect())
+
+
+def test_scores_do_not_depend_on_partitions(frame, spark):
+    rows, found = model_rows(), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, cell_tokens in ((2, 1 << 21), (64, 100)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            found.append(scored(frame(rows).repartition(parts), "doc_id", "n_tokens", "n_known", "base_score", "score", cell_tokens=cell_tokens))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def thue_morse(first, second, n=1024):
+    """A word whose polynomial hash modulo 2**64 equals that of the word with both letters changed over."""
+    return "".join((first, second)[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_are_told_apart_by_more_than_a_polynomial(frame):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learned = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10)
+    got = {r.doc_id: r.n_known for r in score_documents(frame([(learned, thue_morse("a", "b")), (held, thue_morse("b", "a"))])).collect()}
+    assert got == {learned: 2, held: 1}  # the end token alone
+
+
+def test_words_of_equal_upper_halves_are_told_apart(tmp_path):
+    from matchlode.llm import language_model as lm
+
+    a, b = np.array([5, 5, 5, 9, 9, 1 << 40], np.uint64), np.array([1, 4, 7, 2, 3, 8], np.uint64)
+    parts = EliasFano.build(a, lm._start(1, 2), "hash")
+    write_arrays(f"file://{tmp_path}", "words-0", parts | {"check": b, "count": np.arange(1, 7, dtype=np.uint8)})
+    trie = lm.Trie(f"file://{tmp_path}", [0, 6, 6], 21)
+    ask_a, ask_b = np.array([5, 5, 5, 5, 7, 9, 9, 9, 1 << 40], np.uint64), np.array([1, 4, 6, 7, 1, 2, 3, 9, 8], np.uint64)
+    assert trie.find(ask_a, ask_b)[0].tolist() == [0, 1, -1, 2, -1, 3, 4, -1, 5]
+    words, more, own = lm.vocabulary(np.array([9, 5, 9, 5], np.uint64), np.array([2, 7, 1, 7], np.uint64))
+    assert (words.tolist(), more.tolist(), own.tolist()) == ([5, 9, 9], [7, 1, 2], [2, 0, 1, 0])
 
 
 def test_model_probabilities_sum_to_one(frame, spark, monkeypatch):
     from matchlode.llm import language_model as lm
 
-    rows, kept = model_rows(), {}
+    kept = {}
     real = lm._score
     monkeypatch.setattr(lm, "_score", lambda *a: kept.update(a=a) or real(*a))
-    lm.score_documents(frame(rows), 2).count()
-    folder, bases, tokens, slices = kept["a"]
-    words = lm.Words(folder, bases, tokens)
-    size = bases[-1]
-    ids = np.r_[np.arange(size), -1]
-    counts = np.concatenate([p[1] for p in words.parts if p]).astype(np.int64)
-    base = (np.r_[counts, 0] + 0.1) / (tokens + 0.1 * (size + 1))
-    for context in (0, size // 2, size - 1, int(counts.argmax())):
-        p = lm.probabilities(words, ids, np.full(len(ids), context), base, np.full(len(ids), counts[context]), slices)
-        assert p.sum() == pytest.approx(1, abs=2e-3)  # quantisation
+    lm.score_documents(frame(model_rows()), 3, 2, 300).count()
+    key, order = kept["a"]
+    trie = lm.Trie(*key)
+    scorer, size = lm.Scorer(trie, order), trie.size
+    end = int(trie.find(*(np.array([x]) for x in lm.END))[0][0])
+    ids = np.r_[-1, np.arange(size)]
+    count = trie.of_words("words", "count", 0, size, np.int64)
+    for context in (np.r_[end], np.argsort(-count)[[1, 2]], np.argsort(-count)[[3, 1]], np.r_[0]):
+        rows = np.stack([np.r_[context + 1, x] for x in (0, *range(1, size + 1))])
+        rows = np.c_[rows, np.full(len(rows), end + 1)]
+        p = scorer.probabilities(ids, rows.ravel(), np.arange(len(rows) + 1) * rows.shape[1])
+        assert p.reshape(rows.shape)[:, len(context)].sum() == pytest.approx(1, abs=2e-3)  # quantisation
+
+
+def test_files_that_cannot_be_mapped_are_let_go(tmp_path):
+    from matchlode.llm.elias_fano import Shelf
+
+    for i in range(5):
+        write_arrays(f"file://{tmp_path}", f"f{i}", {"a": np.full(1000, i)})
+    shelf = Shelf(f"file://{tmp_path}", 20_000)
+    shelf.near = False
+    assert [int(shelf.get(f"f{i}")["a"][0]) for i in (0, 1, 0, 2, 3, 4, 0)] == [0, 1, 0, 2, 3, 4, 0]
+    assert shelf.held <= 20_000 and sum(size for _, size in shelf.open.values()) == shelf.held and shelf.get("none") is None
 
 
 def test_language_model_of_nothing(frame):

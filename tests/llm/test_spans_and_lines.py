@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from matchlode.llm.line_dedup import candidates, chunks, remove_repeated_lines
-from matchlode.llm.substring_dedup import remove_repeated_spans
+from matchlode.llm.substring_dedup import _sources, remove_repeated_spans
+from tests.llm.test_models import thue_morse
 
 
 def brute_spans(rows, width=13):
@@ -56,6 +58,19 @@ def test_spans_edges(frame):
     assert spans(frame(rows)) == brute_spans(rows)
 
 
+def test_windows_are_told_apart_by_more_than_a_polynomial(frame):
+    one, other = thue_morse("a", "b"), thue_morse("b", "a")
+    tail = " ".join(f"y{i}" for i in range(12))
+    rows = [(1, f"{other} {tail}"), (2, f"{one} {tail}"), (3, f"{one} {tail}")]
+    assert [(d, n) for d, _, n, _ in spans(frame(rows))] == [(1, 0), (2, 0), (3, 13)]
+
+
+def test_edges_of_equal_first_lanes_are_told_apart():
+    edge, edge2 = np.array([7, 7, 7, 7], np.uint64), np.array([1, 2, 2, 1], np.uint64)
+    doc, at = np.array([4, 3, 5, 6]), np.array([0, 10, 20, 30])
+    assert [x.tolist() for x in _sources(edge, edge2, doc, at)] == [[4, 3, 3, 4], [0, 10, 10, 0]]
+
+
 def test_spans_of_an_id_with_two_texts(frame):
     a, b = (" ".join(f"{c}{i}" for i in range(15)) for c in "ab")
     rows = [(1, a), (1, b), (2, b + " " + a), (2, a)]
