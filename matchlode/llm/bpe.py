@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import pieces
+
 #: Pre-tokens remembered by a worker, in each of two generations.
 REMEMBERED = 300_000
 
@@ -162,14 +164,12 @@ def encode(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
-                decoded = pa.array([own.decode(x) for x in ids], pa.binary())
-                offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists, decoded], names=[*names, "ids", "decoded"])
+        for batch in pieces(batches, rows=1000):
+            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
+            decoded = pa.array([own.decode(x) for x in ids], pa.binary())
+            offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists, decoded], names=[*names, "ids", "decoded"])
 
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields)), "ids array<int>", "decoded binary"])
     out = rows.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ largest doc_id of a group are the same row, and all are marked kept. Other colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -23,7 +23,7 @@ def normalised(text) -> F.Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
 
 
-def exact_groups(docs: DataFrame, hot: int = 64, counters: int = 4096) -> DataFrame:
+def exact_groups(docs: DataFrame, hot: int = 1024, counters: int = 4096) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs.
 
     `counters` bounds the sketch; every digest of more than about 1/counters of the rows is in it,
@@ -42,10 +42,10 @@ def exact_groups(docs: DataFrame, hot: int = 64, counters: int = 4096) -> DataFr
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
     marked = rows.join(F.broadcast(winners), "text_sha256", "left")
-    group = Window.partitionBy("text_sha256")
-    rest = marked.filter("group_size IS NULL").select(
-        "doc_id", "text_sha256", F.max("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size")
-    )
+    left = marked.filter("group_size IS NULL").select("doc_id", "text_sha256")
+    # Map-side aggregation first; a join with one row a digest can be split where a digest is frequent.
+    groups = left.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = left.join(groups, "text_sha256").select("doc_id", "text_sha256", "keep_id", "group_size")
     return (
         marked.filter("group_size IS NOT NULL")
         .select("doc_id", "text_sha256", "keep_id", "group_size")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import mix
@@ -25,8 +25,11 @@ from .scan import mix
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 DIMENSIONS = 1 << 14
-#: The most rows that weights are fitted on: the first by a hash of doc_id.
+#: The most rows that weights are fitted on: the first of each label by a hash of doc_id. Half of them are
+#: shared out by the labels' frequencies, half evenly, so that rare languages are learned too.
 SAMPLE_ROWS = 4000
+#: The most languages that are learned: the most frequent labels.
+LANGUAGES = 256
 #: FTRL-proximal: step, its softening, and the elastic net's two penalties.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 2
 _LETTER = regex.compile(r"\p{L}")
@@ -125,7 +128,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [counts(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("draw", "id", "label")), pa.array([a.astype(np.int16).tobytes() for a, _ in found], pa.binary()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in found], pa.binary())],
+            [*(batch.column(c) for c in ("draw", "id", "label")), pa.array([a.astype(np.int16).tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in found], pa.binary())],
             names=["draw", "id", "label", "at", "n"],
         )
 
@@ -139,12 +142,19 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     sums = sums[sums.feature >= 0]
     df[sums.feature] = sums.n
     idf = np.log((1 + texts) / (1 + df)) + 1
+    labels = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()  # LANGUAGES rows at most
+    whole = sum(r["count"] for r in labels)
+    quota = [(r.label, -(-sample_rows * (len(labels) * r["count"] + whole) // (2 * whole * len(labels))), r["count"]) for r in labels]
+    share = rows.sparkSession.createDataFrame([(label, n, min(1.0, 1.5 * n / count + 64 / count)) for label, n, count in quota], "label string, most long, share double")
     draw = F.xxhash64(F.col("id"), F.lit(7))
-    chosen = rows.select("id", draw.alias("draw")).orderBy("draw", "id").limit(sample_rows).distinct()  # numbers alone; then their texts
-    texts = rows.join(F.broadcast(chosen), "id").select("draw", "id", "text", "label")
-    sample = texts.mapInArrow(_features, "draw long, id long, label string, at binary, n binary").orderBy("draw", "id", "label", F.xxhash64("at", "n")).limit(sample_rows).toPandas()
+    # Numbers alone first: a little more than each label's part by the draw's value, then its first rows.
+    near = rows.select("id", "label", draw.alias("draw")).join(F.broadcast(share), "label").filter(F.pmod("draw", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    first = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id"))
+    chosen = near.withColumn("n", first).filter("n <= most").select("id", "draw", "label").distinct()
+    texts = rows.join(F.broadcast(chosen), ["id", "label"]).select("draw", "id", "text", "label")
+    sample = texts.mapInArrow(_features, "draw long, id long, label string, at binary, n binary").orderBy("draw", "id", "label", F.xxhash64("at", "n")).limit(sample_rows + LANGUAGES).toPandas()
     languages = sorted(sample.label.unique())
-    examples = [(np.frombuffer(a, np.int16).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.float64), languages.index(y)) for a, n, y in zip(sample["at"], sample.n, sample.label)]
+    examples = [(np.frombuffer(a, np.int16).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.float64), languages.index(y)) for a, n, y in zip(sample["at"], sample.n, sample.label)]
     examples = [examples[i] for i in np.random.default_rng(5).permutation(len(examples))]
     held = examples[len(examples) * 4 // 5 :]
     model = Model(languages, idf, fit_weights(examples[: len(examples) * 4 // 5] or examples, idf, max(1, len(languages))))
@@ -180,5 +190,5 @@ def identify(docs: DataFrame, *keep: str) -> DataFrame:
     """predict with a model of the rows of docs whose crc32(doc_id) modulo 3 is not 1; held_out marks the others."""
     known = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
     model = fit(known.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("label")))
-    marked = docs.withColumn("_held_out", held_out(F.col("doc_id"), 3, 1))
-    return predict(marked, model, *keep, "_held_out").withColumnRenamed("_held_out", "held_out")
+    rows = docs.select(F.struct(*keep).alias("row"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), "text")
+    return predict(rows, model, "row", "held_out").select("row.*", "held_out", "lang_pred", "score")

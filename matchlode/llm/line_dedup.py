@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import pieces
 from .shared import cut
 
 #: One line pair in so many ends a chunk.
 DIVISOR = 3
-ROWS = 512
 
 
 def chunks(text: bytes, divisor: int = DIVISOR) -> list[tuple[int, int, bytes]]:
@@ -80,15 +80,9 @@ def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*((c.cast(pa.binary()) if n == "text" else c).to_pylist() for n, c in zip(names, columns)))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for lo in range(0, whole.num_rows, ROWS):
-            yield whole.slice(lo, ROWS)
-
-
 def _hashes(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
     """(h, id, version, n): each hash of a text's candidates, and how many have it."""
-    for batch in _slices(batches):
+    for batch in pieces(batches):
         out = [(h, doc, version, n) for doc, version, text in _rows(batch, "id", "version", "text") for h, n in Counter(_hash(c) for _, _, c in find(text)).items()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["h", "id", "version", "n"])
@@ -97,7 +91,7 @@ def _hashes(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]
 def _repeated(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
     """Bytes and place of each candidate whose hash occurs again."""
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    for batch in _slices(batches):
+    for batch in pieces(batches):
         out = []
         for doc, version, text, hs in _rows(batch, "id", "version", "text", "hs"):
             known = set(hs or ())
@@ -107,7 +101,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatc
 
 
 def _drop(batches: Iterator[pa.RecordBatch], runs: bool) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in pieces(batches):
         kept, total, gone = [], [], []
         for text, hs, stay in _rows(batch, "text", "hs", "stay"):
             if runs:

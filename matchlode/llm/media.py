@@ -23,15 +23,17 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import pieces
+
 UNIT = 64
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 8
 WINDOW, HOP, POINTS = 150, 60, 256
 TIMES, BANDS = 16, 20
+AXES = ("time", "band")
 #: Above the median frame energy, in log10 units.
 UPPER, LOWER = 0.10, 0.03
 #: Frames that are held at once.
 FRAMES = 1 << 14
-ROWS = 256
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -131,12 +133,10 @@ def store_audio(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """key, n_bytes (of the text), media (a WAV file of its bytes, padded with zeros to whole units)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(lo, ROWS)
-                raw = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                files = [to_wav(t.ljust(max(UNIT, -(-len(t) // UNIT) * UNIT), b"\0")) for t in raw]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(len, raw), pa.int64()), pa.array(files, pa.binary())], names=["key", "n_bytes", "media"])
+        for batch in pieces(batches):
+            raw = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            files = [to_wav(t.ljust(max(UNIT, -(-len(t) // UNIT) * UNIT), b"\0")) for t in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(map(len, raw), pa.int64()), pa.array(files, pa.binary())], names=["key", "n_bytes", "media"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -144,38 +144,50 @@ def store_audio(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def read_audio(media: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` and media, payload (bytes read back), tensor (TIMES x BANDS numbers, by time), spans (seconds)."""
+    """The columns `keep` and media, payload (bytes read back), tensor (an Arrow tensor of TIMES x BANDS numbers), spans (seconds).
+
+    Spark has no tensor type: a cell of `tensor` is Arrow's own serialised form, with shape and axes;
+    read_tensor reads one, tensor_table turns the column into one fixed-shape tensor array.
+    """
     names = [f"keep_{i}" for i in range(len(keep))]
     kinds = [media.schema[c].dataType.simpleString() for c in keep]
     span = pa.list_(pa.struct([("begin", pa.float64()), ("end", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(lo, ROWS)
-                payloads = [from_wav(m) for m in batch.column("media").to_pylist()]
-                found = [features(p) for p in payloads]
-                tensors = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([t.ravel() for t, _ in found])), TIMES * BANDS)
-                flat = np.concatenate([s for _, s in found])
-                spans = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *(len(s) for _, s in found)]), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.float64()), pa.array(flat[:, 1], pa.float64())], fields=list(span.value_type)),
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n) for n in names), batch.column("media"), pa.array(payloads, pa.binary()), tensors.cast(pa.list_(pa.float32())), spans],
-                    names=[*names, "media", "payload", "tensor", "spans"],
-                )
-
-    schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "media binary, payload binary, tensor array<float>, spans array<struct<begin:double,end:double>>"])
+        for batch in pieces(batches, "media", rows=256):
+            payloads = [from_wav(m) for m in batch.column("media").to_pylist()]
+            found = [features(p) for p in payloads]
+            flat = np.concatenate([s for _, s in found])
+            spans = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *(len(s) for _, s in found)]), pa.int32()),
+                pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.float64()), pa.array(flat[:, 1], pa.float64())], fields=list(span.value_type)),
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in names), batch.column("media"), pa.array(payloads, pa.binary()), pa.array([tensor_bytes(t) for t, _ in found], pa.binary()), spans],
+                names=[*names, "media", "payload", "tensor", "spans"],
+            )
+
+    schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "media binary, payload binary, tensor binary, spans array<struct<begin:double,end:double>>"])
     rows = media.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), "media")
     out = rows.mapInArrow(run, schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), "media", "payload", "tensor", "spans")
 
 
+def tensor_bytes(values: np.ndarray) -> bytes:
+    """A (TIMES, BANDS) array as an Arrow tensor message with named axes."""
+    out = pa.BufferOutputStream()
+    pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(values, np.float32), dim_names=AXES), out)
+    return out.getvalue().to_pybytes()
+
+
+def read_tensor(cell: bytes) -> pa.Tensor:
+    return pa.ipc.read_tensor(pa.BufferReader(cell))
+
+
 def tensor_table(table: pa.Table) -> pa.Table:
-    """The column tensor of read_audio's rows as an Arrow tensor of fixed shape, with its axes named."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (TIMES, BANDS), dim_names=("time", "band"))
-    flat = table["tensor"].combine_chunks()
-    values = flat.flatten() if len(flat) else pa.array([], pa.float32())
+    """The column tensor of read_audio's rows as one Arrow array of tensors of fixed shape."""
+    kind = pa.fixed_shape_tensor(pa.float32(), (TIMES, BANDS), dim_names=AXES)
+    cells = [read_tensor(c).to_numpy().ravel() for c in table["tensor"].to_pylist()]
+    values = pa.array(np.concatenate(cells) if cells else np.zeros(0, np.float32), pa.float32())
     column = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, TIMES * BANDS))
     return table.set_column(table.schema.get_field_index("tensor"), pa.field("tensor", kind), column)

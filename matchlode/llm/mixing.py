@@ -6,7 +6,7 @@ left. Each source then takes every document a whole number of times, and the fra
 in seeded random order. That order is dealt into buckets, so that no source is sorted in one task.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last; a source
-of size 0 has target 0; documents without words take 0 words; rows of equal doc_id and size are
+of size 0 has target 0; rows with null doc_id are drawn by their text; documents without words take 0 words; rows of equal doc_id and size are
 interchangeable; without any words all targets are 0. Other columns are ignored.
 """
 
@@ -53,9 +53,13 @@ def mix_sources(docs: DataFrame, max_epochs: float = 3.0, seed: int = 42, key: s
     """
     own = [] if key is None else ["row_key"]
     rows = cut(
-        docs.select(*(F.col(key).alias(n) for n in own), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),
+        docs.select(
+            *(F.col(key).alias(n) for n in own), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+            F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string"), *(F.col(key) for _ in own))).alias("salt"),
+        ),
         "sizes",
-    ).withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    )
+    rows = rows.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), "salt")))))
     rows = rows.withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     totals = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), max_epochs)

@@ -74,7 +74,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(
             ";",
-            F.concat(F.lit("mel16x20="), F.sha2(F.to_json(F.struct("tensor")), 256)),
+            F.concat(F.lit("mel16x20="), F.sha2("tensor", 256)),
             F.concat(F.lit("segments="), F.size("spans")),
             F.concat(F.lit("spans="), F.sha2(F.to_json(F.struct("spans")), 256)),
         ).alias("feature"),

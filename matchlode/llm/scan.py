@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 BLOCK_BYTES = 2 << 20
@@ -148,6 +149,18 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         lo = hi
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most `rows` rows and `limit` bytes of a string or binary column, or one longer row."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, lo = np.cumsum(size), 0
+        while lo < batch.num_rows:
+            fits = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right"))
+            hi = min(max(lo + 1, fits), lo + rows)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """min(x[i:i+width]) for each i, by doubling."""
     have = 1

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .packed import bucket_count, bucket_of, by_bucket, dealt, pack, runs, schema, unpack
+from .scan import pieces
 from .shared import cut
 
 HELD = 1 << 21
@@ -62,7 +63,7 @@ def fingerprint(hashes: list[np.ndarray]) -> np.ndarray:
 
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             held, n, done = [], 0, []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 s = shingles(text, words)

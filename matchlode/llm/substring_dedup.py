@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import bucket_count, bucket_of, by_bucket, dealt, pack, runs, schema, unpack
-from .scan import Block, blocks, grams, sliding_min
+from .scan import Block, blocks, grams, pieces, sliding_min
 from .shared import cut
 
 #: Entries that a task holds before it sends them.
@@ -181,7 +181,7 @@ _PLACE = (1 << 40) - 1
 
 def _source_words(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for doc, text, asked in zip(batch.column("sdoc").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), _lists(batch.column("asked"))):
                 words, tag = (text or b"").split(), _tag(text or b"")
@@ -194,7 +194,7 @@ def _source_words(width: int):
 
 def _keep(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             total, gone, kept, spans = [], [], [], []
             for text, paths in zip(batch.column("text").cast(pa.binary()).to_pylist(), _lists(batch.column("paths"))):
                 text = text or b""

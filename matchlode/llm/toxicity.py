@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .language_id import held_out
 from .scan import LOWER, Block, blocks, mix, range_hashes
 
-#: The most labelled rows, and bytes of their texts, that are learned from: the first by a hash of doc_id.
-SAMPLE_ROWS, SAMPLE_BYTES = 8000, 24 << 20
+#: The most labelled rows, and bytes of their texts, that are learned from: the first by a hash of
+#: doc_id, without texts of more than SAMPLE_TEXT bytes, which would crowd out others.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TEXT = 8000, 24 << 20, 256 << 10
 BUCKETS = 1 << 19
 PREFIXES = (4, 6, 8)
 DIMENSIONS, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
@@ -199,13 +200,20 @@ def calibrate(m: Model, docs: list[np.ndarray], labels: np.ndarray, langs: list[
         m.slope = float(np.clip(m.slope - ((z * (p - labels)).sum() + (m.slope - 1)) / ((z * z * p * (1 - p)).sum() + 1), 0.2, 5))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """text, lang, toxic of labelled rows outside the held-out fifth."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, text: int = SAMPLE_TEXT) -> DataFrame:
+    """text, lang, toxic of labelled rows outside the held-out fifth: the first by draw, up to `rows` rows and `size` bytes.
+
+    Texts of more than `text` bytes are left out before both bounds; contradictory labels of one
+    doc_id are all learned.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     own = own.filter(~held_out(F.col("doc_id"), 5, 0)).distinct()
-    chosen = own.withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit(11))).orderBy("draw", "doc_id", "toxic").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = texts.join(F.broadcast(chosen), "doc_id")  # at most `rows` rows of numbers
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    short = short.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= text)
+    draw = F.xxhash64(F.col("doc_id"), F.lit(11))
+    # Numbers alone first: ids of short texts that have a label; then the texts of the first of them.
+    chosen = own.join(short.select("doc_id"), "doc_id", "left_semi").withColumn("draw", draw).orderBy("draw", "doc_id", "toxic").limit(rows)
+    found = short.join(F.broadcast(chosen), "doc_id")  # at most `rows` rows of numbers
     so_far = Window.orderBy("draw", "doc_id", "toxic", F.xxhash64("text"))
     return found.orderBy("draw", "doc_id", "toxic").limit(rows).withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far)).filter(F.col("bytes") <= size).select("text", "lang", "toxic")
 

@@ -197,8 +197,73 @@ def test_language_identification_of_nothing(frame):
 
 
 def test_language_identification_keeps_clashing_columns(frame):
-    df = frame(language_rows()).withColumn("text_to_scan", F.lit(1)).withColumn("_held_out", F.lit("x"))
-    assert language_id.identify(df.drop("_held_out"), "doc_id", "text_to_scan").first().text_to_scan == 1
+    df = frame(language_rows()).withColumn("text_to_scan", F.lit(1)).withColumn("_held_out", F.lit("x")).withColumn("row", F.lit(2))
+    r = language_id.identify(df, "doc_id", "text_to_scan", "_held_out", "row").first()
+    assert (r.text_to_scan, r["_held_out"], r["row"]) == (1, "x", 2) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_rare_languages_are_learned(frame):
+    rnd = random.Random(8)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(4))
+    rows = [(i, " ".join(word("abc") for _ in range(9)), "aa") for i in range(900)] + [(900 + i, " ".join(word("xyz") for _ in range(9)), "bb") for i in range(12)]
+    known = [(i, t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = language_id.fit(frame(known).selectExpr("doc_id AS id", "text", "lang AS label"), sample_rows=40)
+    assert model.languages == ["aa", "bb"] and model.predict("xyzz zyxx yyxz zzyx")[0] == "bb" and model.predict("abcc cabb aabc")[0] == "aa"
+
+
+def test_language_scores_by_their_definition(frame):
+    """Predictions of the fitted model again, with dictionaries of n-grams hashed one by one."""
+    rows = language_rows()
+    model = language_id.fit(frame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]).selectExpr("doc_id AS id", "text", "lang AS label"))
+    texts = ["abca cab ÉÈ", rows[0][1], rows[1][1].upper()]
+    got = {r.text: r for r in language_id.predict(frame([(i, t) for i, t in enumerate(texts)]), model, "text").collect()}
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    for t in texts:
+        cells = Counter()
+        points = [ord(c) for c in t.lower()]
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                h = 0
+                for c in points[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + c) & mask
+                cells[mixed((h + n) & mask) % language_id.DIMENSIONS] += 1
+        x = {c: (1 + math.log(n)) * model.idf[c] for c, n in cells.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(v / size * model.weights[c, k] for c, v in x.items()) + model.weights[-1, k]) / model.temperature for k in range(len(model.languages))]
+        e = [math.exp(v - max(z)) for v in z]
+        assert got[t].lang_pred == model.languages[int(np.argmax(e))] and got[t].score == pytest.approx(max(e) / sum(e), abs=1e-4)
+
+
+def test_weights_follow_the_regularised_leader():
+    """One pass over three examples, coordinate by coordinate."""
+    rng = np.random.default_rng(0)
+    idf = rng.uniform(1, 2, language_id.DIMENSIONS)
+    rows = [(np.array([1, 5, 9]), np.array([1.0, 2.0, 1.0]), 0), (np.array([5, 7]), np.array([3.0, 1.0]), 1), (np.array([1, 7]), np.array([1.0, 1.0]), 0)]
+    z, s, w = {}, {}, {}
+    for at, n, label in rows:
+        x = dict(zip(at.tolist(), language_id.vector(at, n, idf))) | {language_id.DIMENSIONS: 1.0}
+        weight = lambda i, k: 0.0 if abs(z.get((i, k), 0)) <= language_id.L1 else -(z[i, k] - math.copysign(language_id.L1, z[i, k])) / ((language_id.BETA + math.sqrt(s[i, k])) / language_id.ALPHA + language_id.L2)
+        margins = np.array([sum(v * weight(i, k) for i, v in x.items()) for k in (0, 1)])
+        p = np.exp(margins) / np.exp(margins).sum()
+        for i, v in x.items():
+            for k in (0, 1):
+                w[i, k] = weight(i, k)
+        for i, v in x.items():
+            for k in (0, 1):
+                g = v * (p[k] - (k == label))
+                step = (math.sqrt(s.get((i, k), 0) + g * g) - math.sqrt(s.get((i, k), 0))) / language_id.ALPHA
+                z[i, k] = z.get((i, k), 0) + g - step * w[i, k]
+                s[i, k] = s.get((i, k), 0) + g * g
+    got = language_id.fit_weights(rows, idf, 2, epochs=1)
+    assert all(got[i, k] == pytest.approx(weight(i, k)) for i, k in z)
 
 
 def test_temperature_lowers_the_loss():
@@ -240,6 +305,66 @@ def test_toxicity_without_both_labels(frame, spark):
     assert [r.score for r in toxicity.score(docs, toxicity.fit(docs, labels), "doc_id").collect()] == [0.0, 0.0]
 
 
+def test_toxicity_of_empty_tables_and_clashing_columns(frame, spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = frame([(1, "a"), (2, "b b"), (None, "c")]).withColumn("text_to_scan", F.lit(7)).withColumn("draw", F.lit("x")).withColumn("toxic", F.lit(0))
+    model = toxicity.fit(docs, labels)
+    assert {r.text_to_scan for r in toxicity.score(docs, model, "doc_id", "text_to_scan").collect()} == {7}
+    empty = docs.filter("false")
+    assert toxicity.fit(empty, labels) is None and toxicity.fit(docs, labels.filter("false")) is None
+    assert toxicity.score(empty, model, "doc_id").count() == 0
+
+
+def test_long_texts_do_not_crowd_out_the_sample(frame, spark):
+    rows = toxic_rows()[:60]
+    labels = spark.createDataFrame([(r[0], 1, r[4]) for r in rows], "doc_id long, quality int, toxic int")
+    docs = frame([r[:4] for r in rows])
+    short = sorted(r.text for r in toxicity.sample(docs, labels, size=1 << 20, text=4000).collect())
+    assert len(short) == sum(zlib.crc32(str(r[0]).encode()) % 5 != 0 for r in rows)
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.repeat("text", F.lit(4000))).otherwise(F.col("text")))
+    left = sorted(r.text for r in toxicity.sample(long, labels, size=1 << 20, text=4000).collect())
+    assert left == sorted(r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and r[0] % 3)
+    few = toxicity.sample(docs, labels, size=1000, text=4000).collect()
+    assert 0 < len(few) < len(short) and sum(len(r.text) for r in few) <= 1000
+
+
+def test_toxicity_scores_by_their_definition():
+    """Maxima over all windows of all filters, word by word."""
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, toxicity.BUCKETS, (n, 4)).astype(np.int32) for n in (0, 1, 2, 5, 30)]
+    m = toxicity.train(docs * 4, np.array([0, 1, 0, 1, 0] * 4, float))
+    m.thresholds, m.slope = np.array([0.3]), 1.7
+    for f, got in zip(docs, m.score(np.concatenate(docs), np.cumsum([0, *map(len, docs)]))):
+        words = [sum(m.embedding[b].astype(float) for b in w) for w in f]
+        margin = m.out_bias
+        for w, width in enumerate(toxicity.WIDTHS):
+            for c in range(toxicity.FILTERS):
+                best = max([0.0, *(sum(words[i + j] @ m.filters[w][j][:, c] for j in range(width)) + m.bias[w, c] for i in range(len(words) - width + 1))])
+                margin += best * m.out[w * toxicity.FILTERS + c]
+        assert got == pytest.approx(1 / (1 + math.exp(-1.7 * (margin - 0.3))), abs=1e-4)
+
+
+def test_convolutions_learn_what_single_words_cannot():
+    """Toxic is a pair of words side by side, each of which is as frequent elsewhere; frozen filters see words alone."""
+    rnd = np.random.default_rng(7)
+    words = rnd.integers(0, toxicity.BUCKETS, (40, 4)).astype(np.int32)
+    docs, labels = [], []
+    for i in range(1600):
+        x = rnd.integers(4, 40, 12)
+        a, b = (0, 1) if i % 2 else (1, 0)
+        at = rnd.integers(0, 11)
+        x[at : at + 2] = a, b
+        docs.append(words[x])
+        labels.append(i % 2)
+    y = np.array(labels, float)
+    m = toxicity.train(docs[:1200], y[:1200], epochs=12)
+    first = np.cumsum([0, *map(len, docs[1200:])])
+    flat = np.concatenate(docs[1200:])
+    share = lambda m: ((m.pooled(flat, first) @ m.out + m.out_bias > 0) == (y[1200:] == 1)).mean()
+    frozen = toxicity.train(docs[:1200], y[:1200], epochs=0)
+    assert share(m) > 0.9 and share(frozen) < 0.6
+
+
 def test_pieces_do_not_change_maxima(monkeypatch):
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, toxicity.BUCKETS, (n, 4)).astype(np.int32) for n in (0, 1, 2, 3, 40, 7)]

@@ -1,11 +1,13 @@
 """Substring and line dedup against brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
-from matchlode.llm.line_dedup import candidates, chunks, remove_repeated_lines
+from matchlode.llm.line_dedup import DIVISOR, chunks, remove_repeated_lines
 from matchlode.llm.substring_dedup import _sources, remove_repeated_spans
 from tests.llm.test_models import thue_morse
 
@@ -92,17 +94,29 @@ def test_spans_refuse_a_wide_seed(frame):
         remove_repeated_spans(frame([(1, "a")]), width=5, seed=6)
 
 
+def cut_lines(text):
+    """Chunks by their definition: a line ends one if the two checksums up to it hash to 0 modulo DIVISOR, but a first line only at the end."""
+    out, own = [], []
+    lines = text.encode().split(b"\n")
+    for i, line in enumerate(lines):
+        own.append(line)
+        both = b"".join(zlib.crc32(x).to_bytes(4, "little") for x in lines[max(0, i - 1) : i + 1])
+        if i == len(lines) - 1 or len(own) > 1 and xxhash.xxh64_intdigest(both) % DIVISOR == 0:
+            out.append(own)
+            own = []
+    return out
+
+
 def brute_lines(rows):
     seen, out = set(), []
     for doc, text, *_ in sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0]):
-        go = set()
-        for k, _, c in candidates(text.encode() if text is not None else None):
-            if c in seen:
-                go.add(k)
-            seen.add(c)
-        parts = chunks(text.encode()) if text else []
-        left = b"\n".join(c for k, (_, _, c) in enumerate(parts) if k not in go).decode() if text is not None else None
-        out += [(doc, left, sum(n for k, (_, n, _) in enumerate(parts) if k in go))] * sum(r[0] == doc and r[1] == text for r in rows)
+        left, gone = [], 0
+        for chunk in cut_lines(text) if text else []:
+            known = len(chunk) > 1 and b"".join(chunk).split() and tuple(chunk) in seen
+            seen.add(tuple(chunk))
+            gone += len(chunk) if known else 0
+            left += [] if known else chunk
+        out += [(doc, b"\n".join(left).decode() if text is not None else None, gone)] * sum(r[0] == doc and r[1] == text for r in rows)
     return sorted(out, key=str)
 
 
