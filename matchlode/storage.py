@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as a URI; a new local folder only where the session has none (tests)."""
+    """spark.checkpoint.dir as a URI; a new local folder only where a session of one machine has none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="matchlode-")
         spark.sparkContext.setCheckpointDir(base)
     return base if urlparse(base).scheme else f"file://{base}"
