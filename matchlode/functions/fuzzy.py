@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,14 +51,21 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
+def _distinct(ratio, a: pd.Series, b: pd.Series) -> pd.Series:
+    """ratio of each pair, computed once for each distinct pair of a batch."""
+    pairs = pd.MultiIndex.from_arrays([a, b])
+    codes, once = pairs.factorize()
+    return pd.Series(np.array([ratio(x, y) for x, y in once], float)[codes] if len(codes) else [], dtype=float)
+
+
 @F.pandas_udf(DoubleType())
 def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype=float)
+    return _distinct(indel_ratio, a, b)
 
 
 @F.pandas_udf(DoubleType())
 def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype=float)
+    return _distinct(token_set_ratio, a, b)
 
 
 def _unless_empty(f, a: Column, b: Column) -> Column:

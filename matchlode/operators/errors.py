@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_signature
@@ -25,20 +25,21 @@ LISTING_ERRORS = {
 
 
 def listing_errors(decisions: DataFrame, most: int, key: str = "google_id") -> DataFrame:
-    """error_type and the first `most` decisions of each type by key. Each type is a top-k, never a full sort."""
+    """error_type and the first `most` decisions of each type by key.
+
+    One pass: tasks keep the least `most` keys of each type, and a decision may have two types.
+    """
     if most <= 0:
-        raise ValueError("max_per_type must be positive")
-    out = None
-    for kind, rule in LISTING_ERRORS.items():
-        own = decisions.filter(rule).orderBy(key).limit(most).withColumn("error_type", F.lit(kind))
-        out = own if out is None else out.unionByName(own)
-    return out
+        raise ValueError("at least one example of a type is needed")
+    kinds = F.filter(F.array(*(F.when(F.expr(rule), F.lit(kind)) for kind, rule in LISTING_ERRORS.items())), lambda k: k.isNotNull())
+    marked = decisions.withColumn("error_type", F.explode(kinds))
+    return marked.withColumn("_place", F.row_number().over(Window.partitionBy("error_type").orderBy(key))).filter(F.col("_place") <= most).drop("_place")
 
 
 def pair_errors(pairs: DataFrame, most: int, threshold: float = 0.5) -> DataFrame:
     """error_type and the most confident wrong pairs: score, label, ordinal; ties by ordinal."""
     if most <= 0:
-        raise ValueError("max_per_type must be positive")
+        raise ValueError("at least one example of a type is needed")
     high = pairs.filter((F.col("label") == 0) & (F.col("score") >= threshold)).orderBy(F.desc("score"), "ordinal").limit(most).withColumn("error_type", F.lit("pair_false_positive_at_0_5"))
     low = pairs.filter((F.col("label") == 1) & (F.col("score") < threshold)).orderBy("score", "ordinal").limit(most).withColumn("error_type", F.lit("pair_false_negative_at_0_5"))
     return high.unionByName(low)

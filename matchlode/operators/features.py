@@ -41,27 +41,26 @@ def _side(products: DataFrame, key: str, tag: str) -> DataFrame:
     )
 
 
-def check_known(pairs: DataFrame, products: DataFrame, key: str) -> None:
-    lost = pairs.select(F.col(key).alias("product_id")).distinct().join(products, "product_id", "left_anti")
-    if not lost.isEmpty():
-        raise ValueError(f"{key} holds ids that no product has")
-
-
-def pair_features(pairs: DataFrame, listings: DataFrame, catalog: DataFrame, check: bool = True) -> DataFrame:
+def pair_features(pairs: DataFrame, listings: DataFrame, catalog: DataFrame) -> DataFrame:
     """pairs (google_id, amazon_id, optional scores and ranks) with all features of HYBRID and RANK.
 
-    Normalisation and token sets are computed once a product, before the join.
+    Normalisation and token sets are computed once a product, before the join. An id that no product
+    has raises when the rows are computed; the check is part of the join.
     """
-    for key, side in (("google_id", listings), ("amazon_id", catalog)):
+    for key in ("google_id", "amazon_id"):
         if key not in pairs.columns:
             raise ValueError(f"pairs lack {key}")
-        if check:
-            check_known(pairs, side, key)
 
     def given(c: str, kind: str):
         return F.col(c).cast(kind) if c in pairs.columns else F.lit(None).cast(kind)
 
-    both = pairs.join(_side(listings, "google_id", "g"), "google_id").join(_side(catalog, "amazon_id", "a"), "amazon_id")
+    both = pairs.join(_side(listings, "google_id", "g"), "google_id", "left").join(_side(catalog, "amazon_id", "a"), "amazon_id", "left")
+
+    def known(key: str, tag: str):
+        lost = F.raise_error(F.concat(F.lit(f"{key} holds an id that no product has: "), F.col(key).cast("string"))).cast(pairs.schema[key].dataType)
+        return F.when(F.col(f"{tag}_title").isNotNull(), F.col(key)).otherwise(lost).alias(key)
+
+    keys = {"google_id": known("google_id", "g"), "amazon_id": known("amazon_id", "a")}
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     values = {
         "lexical_similarity": F.coalesce(given("lexical_score", "double"), F.lit(0.0)),
@@ -83,4 +82,4 @@ def pair_features(pairs: DataFrame, listings: DataFrame, catalog: DataFrame, che
         "reciprocal_lexical_rank": reciprocal_rank(given("lexical_rank", "int")),
         "reciprocal_dense_rank": reciprocal_rank(given("dense_rank", "int")),
     }
-    return both.select(*(F.col(c) for c in pairs.columns if c not in values), *(values[c].alias(c) for c in (*HYBRID, *RANK)))
+    return both.select(*(keys.get(c, F.col(c)) for c in pairs.columns if c not in values), *(values[c].alias(c) for c in (*HYBRID, *RANK)))

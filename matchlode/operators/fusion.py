@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.stats import rrf_score, source_label
 
 KEYS = ["google_id", "amazon_id"]
-COLUMNS = (*KEYS, "lexical_score", "dense_score", "lexical_rank", "dense_rank", "rrf_score", "rrf_rank", "retrieval_sources", "gold_injected")
 
 
 def union_pool(lexical: DataFrame, dense: DataFrame, constant: float = 60.0) -> DataFrame:

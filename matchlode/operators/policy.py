@@ -11,24 +11,48 @@ ACTIONS = ("auto_match", "auto_no_match", "manual_review")
 
 
 def statistics(support, correct, total, prefix: str) -> list:
-    """Columns of one kind of evidence; precision and interval are null without support."""
+    """Columns of one kind of evidence; precision and interval are null without support, and all but support and coverage for a null `correct`."""
     low, high = wilson(correct, support)
     return [
         support.cast("long").alias(f"{prefix}_support"),
         correct.cast("long").alias(f"{prefix}_correct_count"),
         (support - correct).cast("long").alias(f"{prefix}_error_count"),
         F.when(support > 0, correct / support).alias(f"{prefix}_empirical_precision"),
-        low.alias(f"{prefix}_precision_wilson_95_low"),
-        high.alias(f"{prefix}_precision_wilson_95_high"),
+        F.when(correct.isNotNull(), low).alias(f"{prefix}_precision_wilson_95_low"),
+        F.when(correct.isNotNull(), high).alias(f"{prefix}_precision_wilson_95_high"),
         safe_rate(support, total).alias(f"{prefix}_coverage"),
     ]
 
 
-def action_statistics(decisions: DataFrame) -> DataFrame:
-    """A row for each action that occurs. decisions: action, action_correct."""
-    by = decisions.groupBy("action").agg(F.count(F.lit(1)).alias("support"), F.count(F.when(F.col("action_correct"), 1)).alias("correct"))
-    total = by.agg(F.sum("support").alias("total"))
-    return by.crossJoin(F.broadcast(total)).select("action", *statistics(F.col("support"), F.col("correct"), F.col("total"), "listing"))  # one row
+def action_statistics(decisions: DataFrame, group: str = "duplicate_group_id") -> DataFrame:
+    """A row for each action: evidence by listings and by groups. decisions: action, is_gold_pair, has_gold_listing and a group.
+
+    A group counts as selected if a member is, and as correct only if all members are, selected or not.
+    Manual review abstains: it has support and coverage, and all that depends on correctness is null.
+    """
+    right = {"auto_match": F.col("is_gold_pair"), "auto_no_match": ~F.col("has_gold_listing"), "manual_review": F.lit(True)}
+    chosen = lambda a: F.col("action") == a
+    by = decisions.groupBy(group).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *(F.count(F.when(chosen(a), 1)).alias(f"{a}_support") for a in ACTIONS),
+        *(F.count(F.when(chosen(a) & right[a], 1)).alias(f"{a}_correct") for a in ACTIONS),
+        *(F.bool_and(right[a]).alias(f"{a}_all") for a in ACTIONS),
+    )
+    count = lambda c: F.count(F.when(c, 1))
+    own = [
+        F.struct(
+            F.lit(a).alias("action"), F.sum(f"{a}_support").alias("support"), F.sum(f"{a}_correct").alias("correct"),
+            count(F.col(f"{a}_support") > 0).alias("groups"), count((F.col(f"{a}_support") > 0) & F.col(f"{a}_all")).alias("right_groups"),
+        )
+        for a in ACTIONS
+    ]
+    sums = by.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("listings"), F.count(F.lit(1)).alias("all_groups"), F.array(*own).alias("own"))
+    rows = sums.select("listings", "all_groups", F.explode("own").alias("o")).select("listings", "all_groups", "o.*")
+    judged = lambda c: F.when(F.col("action") != "manual_review", F.coalesce(F.col(c), F.lit(0)))
+    support = F.coalesce(F.col("support"), F.lit(0))
+    return rows.select(
+        "action", *statistics(support, judged("correct"), F.col("listings"), "listing"), *statistics(F.col("groups"), judged("right_groups"), F.col("all_groups"), "group")
+    )
 
 
 def group_evidence(rows: DataFrame) -> DataFrame:
@@ -63,7 +87,6 @@ def threshold_diagnostics(rows: DataFrame, step: float, precision_targets: dict[
         raise ValueError("minimum supports must be positive")
     grid = threshold_grid(rows.sparkSession, step)
     cells = [r.threshold for r in grid.collect()]
-    last = len(cells) - 1
     literal = F.array(*map(F.lit, cells))
 
     def cell(value, action):
@@ -91,7 +114,6 @@ def threshold_diagnostics(rows: DataFrame, step: float, precision_targets: dict[
         one = one.withColumn("support_met", F.col("group_support") >= least).withColumn("precision_target_met", F.coalesce(F.col("group_empirical_precision") >= target, F.lit(False)))
         one = one.withColumn("feasible", F.col("support_met") & F.col("precision_target_met")).drop("cell")
         out = one if out is None else out.unionByName(one)
-    assert last >= 0
     return out
 
 
@@ -115,6 +137,25 @@ def select_thresholds(diagnostics: DataFrame) -> DataFrame:
     )
 
 
+EVIDENCE = ("support", "correct_count", "error_count", "empirical_precision", "precision_wilson_95_low", "precision_wilson_95_high", "coverage")
+
+
+def selected_evidence(diagnostics: DataFrame, chosen: dict[str, float | None]) -> DataFrame:
+    """A row for each automatic action: feasible, enabled, threshold, and what the chosen threshold rests on, by groups and listings.
+
+    A disabled action selects nothing: support, counts and coverage 0, the rest null.
+    """
+    names = {"auto_no_match": chosen["no_match_threshold"], "auto_match": chosen["match_threshold"]}
+    plan = diagnostics.sparkSession.createDataFrame([(a, t) for a, t in names.items()], "action string, chosen double")
+    feasible = diagnostics.groupBy("action").agg(F.bool_or("feasible").alias("feasible"))
+    rows = plan.join(feasible, "action", "left").join(diagnostics.drop("feasible").withColumnRenamed("threshold", "chosen"), ["action", "chosen"], "left")  # a grid of rows
+    empty = {"support": 0, "correct_count": 0, "error_count": 0, "coverage": 0.0}
+    view = lambda p: F.struct(*((F.coalesce(F.col(f"{p}_{k}"), F.lit(empty[k])) if k in empty else F.col(f"{p}_{k}")).alias(k) for k in EVIDENCE)).alias
+    return rows.select(
+        "action", F.coalesce("feasible", F.lit(False)).alias("feasible"), F.col("chosen").isNotNull().alias("enabled"), F.col("chosen").alias("threshold"), view("group")("group_evidence"), view("listing")("listing_operation")
+    )
+
+
 def listing_report(decisions: DataFrame) -> DataFrame:
     """One row over all decisions: action, action_correct, is_gold_pair, has_gold_listing."""
     action = F.when(F.col("action").isin(*ACTIONS), F.col("action")).otherwise(F.raise_error(F.concat(F.lit("unknown action: "), F.col("action"))))

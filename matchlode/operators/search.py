@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text
 from ..storage import cut
 
-#: A catalog of more bytes than this is not sent to every executor at once but searched in parts.
+#: A vocabulary of more bytes is not sent to the tasks.
 BLOCK_BYTES = 64 << 20
+#: Bytes of a block of vectors.
+BLOCK = 2 << 20
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
@@ -58,12 +60,6 @@ def postings(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     return raw.join(norm, key).select(key, "gram", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def sparse_scores(queries: DataFrame, catalog: DataFrame, query_key: str, catalog_key: str) -> DataFrame:
-    """Cosine of each pair with a common gram. Both sides: key, gram, weight."""
-    joined = queries.select(query_key, "gram", F.col("weight").alias("w1")).join(catalog.select(catalog_key, "gram", F.col("weight").alias("w2")), "gram")
-    return joined.groupBy(query_key, catalog_key).agg(F.sum(F.col("w1") * F.col("w2")).alias("score"))
-
-
 def top_k(scores: DataFrame, query_key: str, ordinal: str, k: int, digits: int = 6) -> DataFrame:
     """The k best of each query by rounded score, then ordinal; rank from 1."""
     if k <= 0:
@@ -73,28 +69,6 @@ def top_k(scores: DataFrame, query_key: str, ordinal: str, k: int, digits: int =
     return rounded.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def complete(scores: DataFrame, queries: DataFrame, catalog: DataFrame, query_key: str, catalog_key: str, k: int) -> DataFrame:
-    """Adds the k first catalog rows (by ordinal) to each query with score 0 where a pair has no score.
-
-    Pairs without overlap still fill an exact top k, and only the first k of them can.
-    """
-    first = catalog.select(catalog_key, "ordinal").orderBy("ordinal").limit(k)
-    blank = queries.select(query_key).crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
-    known = scores.join(catalog.select(catalog_key, "ordinal"), catalog_key).select(query_key, catalog_key, "ordinal", "score")
-    return known.unionByName(blank.select(query_key, catalog_key, "ordinal", "score")).groupBy(query_key, catalog_key, "ordinal").agg(F.max("score").alias("score"))
-
-
-def lexical_scores(queries: DataFrame, catalog: DataFrame, vocabulary: DataFrame, query_key: str = "google_id", catalog_key: str = "amazon_id", **sizes: int) -> DataFrame:
-    """query_key, catalog_key, score of pairs with a common gram, under a fitted vocabulary. Both sides: key, text.
-
-    Only grams of the catalog can add to a product; the join drops all others after the query's
-    length is taken over the whole vocabulary.
-    """
-    own = postings(gram_counts(queries, query_key, "text", **sizes), vocabulary, query_key)
-    other = postings(gram_counts(catalog, catalog_key, "text", **sizes), vocabulary, catalog_key)
-    return sparse_scores(own, other, query_key, catalog_key)
-
-
 def word_grams(word: str, low: int, high: int) -> list[str]:
     """char_grams of one normalised word."""
     padded = f" {word} "
@@ -110,7 +84,7 @@ class _Grams(dict):
     def __missing__(self, word: str):
         found = word_grams(word, self.low, self.high)
         if self.place is not None:
-            found = [self.place[g] for g in found if g in self.place]
+            found = np.array([self.place[g] for g in found if g in self.place], np.int64)
         if len(self) >= self.bound:
             self.clear()
         self[word] = found
@@ -141,75 +115,194 @@ def vocabulary_of(statistics: DataFrame, documents: int, min_df: int = 1, max_fe
     return grams.select("gram", "df", (F.log(F.lit(1.0 + documents) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def _block_search(queries: DataFrame, idf: dict[str, float], items: list, ordinals: np.ndarray, texts: list[str], k: int, query_key: str, catalog_key: str, kinds: tuple[str, str], low: int, high: int, digits: int) -> DataFrame:
-    """lexical_top_k for a catalog whose matrix fits BLOCK_BYTES: each task multiplies its texts with it."""
-    place = {g: i for i, g in enumerate(idf)}
-    weight = np.array(list(idf.values()))
-
-    def vector(known: _Grams, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, n = np.unique(np.array(list(chain.from_iterable(known[w] for w in text.split(" ") if w)), np.int64), return_counts=True)
-        x = (1 + np.log(n)) * weight[at]
+class Vectoriser:
+    """Texts to (places of grams, weights of length 1), under a vocabulary in the order of its places."""
+
+    def __init__(self, place: dict[str, int], idf: np.ndarray, low: int, high: int):
+        self.idf, self.known = idf, _Grams(low, high, place)
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = Counter(w for w in text.split(" ") if w)
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0)
+        found = [self.known[w] for w in words]
+        flat = np.concatenate(found)
+        n = np.bincount(flat, np.repeat(list(words.values()), [len(f) for f in found]), len(self.idf)) if len(flat) * 8 > len(self.idf) else None
+        if n is None:
+            at, back = np.unique(flat, return_inverse=True)
+            n = np.bincount(back, np.repeat(list(words.values()), [len(f) for f in found]))
+        else:
+            at = np.flatnonzero(n)
+            n = n[at]
+        x = (1 + np.log(n)) * self.idf[at]
         return at, x / max(np.sqrt((x * x).sum()), 1e-300)
 
-    own = _Grams(low, high, place)
-    vectors = [vector(own, t) for t in texts]
-    rows = np.unique(np.concatenate([at for at, _ in vectors])) if vectors else np.zeros(0, np.int64)
-    matrix = np.zeros((len(rows), len(items)))
-    for j, (at, x) in enumerate(vectors):
-        matrix[np.searchsorted(rows, at), j] = x
-    row_of = np.full(len(weight), -1)
-    row_of[rows] = np.arange(len(rows))
-    shared = queries.sparkSession.sparkContext.broadcast((place, weight, row_of, matrix, ordinals))
+
+def sparse_vectors(docs: DataFrame, vocabulary: DataFrame, key: str, low: int = 3, high: int = 5, bound: int = BLOCK_BYTES) -> DataFrame:
+    """key, at, weight (bytes of the places of grams and of their weights, ascending) of each row (key, text).
+
+    A vocabulary of at most `bound` bytes is sent to the tasks, which take the texts as they come; the
+    places of a larger one are hashes, and its weights are joined to exploded grams.
+    """
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    if 64 * vocabulary.count() <= bound:
+        rows = vocabulary.select("gram", "idf").orderBy("gram").collect()  # at most `bound` bytes
+        shared = spark.sparkContext.broadcast(({r.gram: i for i, r in enumerate(rows)}, np.array([r.idf for r in rows])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, idf = shared.value
+            of = Vectoriser(place, idf, low, high)
+            for batch in batches:
+                found = [of(t) for t in batch.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), pa.array([a.astype(np.int64).tobytes() for a, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["key", "at", "weight"]
+                )
+
+        out = docs.select(F.col(key).alias("key"), F.lower(clean_text(F.col("text"))).alias("t")).mapInArrow(run, f"key {kind}, at binary, weight binary")
+        return out.withColumnRenamed("key", key)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [([], []) if v is None else ([x["at"] for x in v], [x["weight"] for x in v]) for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array([np.array(c[i], t).tobytes() for c in cells], pa.binary()) for i, t in enumerate((np.int64, np.float64)))], names=["key", "at", "weight"])
+
+    own = postings(gram_counts(docs, key, "text", low, high), vocabulary, key)
+    lists = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("gram").alias("at"), "weight"))).alias("v"))  # one text's grams
+    return docs.select(key).join(lists, key, "left").select(F.col(key).alias("key"), "v").mapInArrow(packed, f"key {kind}, at binary, weight binary").withColumnRenamed("key", key)
+
+
+def _packed(rows: DataFrame, columns: list[str], side: str, block: int) -> DataFrame:
+    """Rows (key, ordinal, binary columns) as rows of arrays of about `block` bytes, one row at least."""
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, weight, row_of, matrix, ordinals = shared.value
-        known = _Grams(low, high, place)
+        held, size = [], 0
+
+        def send():
+            whole = pa.Table.from_batches(held)
+            cells = [pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), pa.concat_arrays(c.chunks)) for c in whole.columns]
+            return pa.RecordBatch.from_arrays(cells, names=[f"{side}_{n}" for n in whole.column_names])
+
         for batch in batches:
-            best, scores = [], []
-            for text in batch.column("t").to_pylist():
-                at, n = np.unique(np.array(list(chain.from_iterable(known[w] for w in text.split(" ") if w)), np.int64), return_counts=True)
-                x = (1 + np.log(n)) * weight[at]
-                length = np.sqrt((x * x).sum())
-                hit = row_of[at] >= 0
-                s = np.round((x[hit] / length) @ matrix[row_of[at[hit]]], digits) if hit.any() else np.zeros(matrix.shape[1])
-                order = np.lexsort((ordinals, -s))[:k]
-                best.append(order)
-                scores.append(s[order])
-            m = len(best[0]) if best else 0
-            flat = np.concatenate(best) if best else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("q").take(pa.array(np.repeat(np.arange(len(best)), m))), pa.array(flat), pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(best)))],
-                names=["q", "item", "score", "rank"],
-            )
-
-    found = queries.select(F.col(query_key).alias("q"), F.lower(clean_text(F.col("text"))).alias("t")).mapInArrow(run, f"q {kinds[0]}, item long, score double, rank int")
-    names = queries.sparkSession.createDataFrame([(i, key, int(o)) for i, (key, o) in enumerate(zip(items, ordinals))], f"item long, {catalog_key} {kinds[1]}, ordinal long")
-    return found.join(F.broadcast(names), "item").select(F.col("q").alias(query_key), catalog_key, "ordinal", "score", "rank")  # items of one block
-
-
-def lexical_search(queries: DataFrame, catalog: DataFrame, vocabulary: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", low: int = 3, high: int = 5, digits: int = 6) -> DataFrame:
-    """query_key, catalog_key, ordinal, score, rank under a fitted vocabulary.
-
-    A catalog whose matrix of grams by items is at most BLOCK_BYTES is sent to the tasks; a larger one,
-    or one with a larger vocabulary, is joined through its postings.
+            many = max(1, -(-batch.nbytes // block))
+            step = max(1, batch.num_rows // many)
+            for lo in range(0, batch.num_rows, step):
+                piece = batch.slice(lo, step)
+                held.append(piece)
+                size += batch.nbytes * piece.num_rows // batch.num_rows
+                if size >= block:
+                    yield send()
+                    held, size = [], 0
+        if held:
+            yield send()
+
+    cells = {"key": kind, "ordinal": "bigint"} | {c: "binary" for c in columns}
+    return rows.select(*cells).mapInArrow(run, ", ".join(f"{side}_{n} array<{k}>" for n, k in cells.items()))
+
+
+def _block_top_k(queries: DataFrame, catalog: DataFrame, columns: list[str], scorer: Callable, k: int, digits: int, block: int) -> DataFrame:
+    """query key, key, ordinal, score: each task's k best of each of its queries. Sides: key, ordinal, binary columns.
+
+    Rows are packed into blocks first; the product of blocks is Spark's (a side goes to all tasks only
+    if its size is below spark.sql.autoBroadcastJoinThreshold), and a task scores a block of queries
+    with a block of the catalog at a time and keeps a running top k.
+    """
+    kinds = [side.schema["key"].dataType.simpleString() for side in (queries, catalog)]
+    pairs = _packed(queries, columns, "q", block).crossJoin(_packed(catalog, columns, "c", block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            types = [batch.schema.field(n).type.value_type for n in ("q_key", "c_key")]
+            for i in range(batch.num_rows):
+                cells = {n: batch.column(n)[i].values for n in batch.schema.names}
+                keys, ordinal = cells["c_key"].to_pylist(), cells["c_ordinal"].to_numpy(zero_copy_only=False)
+                asked = cells["q_key"].to_pylist()
+                for q, s in zip(asked, scorer([[c.as_py() for c in cells[f"{side}_{n}"]] for side in "qc" for n in columns])):
+                    s = np.round(s, digits)
+                    if len(s) > 4 * k:  # ties at the k-th score stay until the order by ordinal
+                        at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                    else:
+                        at = np.arange(len(s))
+                    at = at[np.lexsort((ordinal[at], -s[at]))[:k]]
+                    own = list(zip((-s[at]).tolist(), ordinal[at].tolist(), (keys[j] for j in at)))
+                    best[q] = own if q not in best else sorted(best[q] + own, key=lambda r: r[:2])[:k]
+        rows = [(q, key, o, -s) for q, own in best.items() for s, o, key in own]
+        for lo in range(0, len(rows), 1 << 16):
+            columns_ = list(zip(*rows[lo : lo + (1 << 16)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_, (*types, pa.int64(), pa.float64()))], names=["query", "key", "ordinal", "score"])
+
+    return pairs.mapInArrow(run, f"query {kinds[0]}, key {kinds[1]}, ordinal long, score double")
+
+
+def _sparse_product(cells: list[list[bytes]]) -> Iterator[np.ndarray]:
+    """Scores of all items for each query; cells: places and weights of the queries, then of the items."""
+    q_at, q_weight, c_at, c_weight = cells
+    at = [np.frombuffer(a, np.int64) for a in c_at]
+    item = np.repeat(np.arange(len(at)), [len(a) for a in at])
+    at, weight = np.concatenate(at), np.concatenate([np.frombuffer(w) for w in c_weight])
+    order = np.argsort(at, kind="stable")
+    at, item, weight = at[order], item[order], weight[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    grams, ends = at[first], np.r_[first[1:], len(at)]
+    for a, w in zip(q_at, q_weight):
+        a, w = np.frombuffer(a, np.int64), np.frombuffer(w)
+        if not len(grams) or not len(a):
+            yield np.zeros(len(c_at))
+            continue
+        place = np.minimum(np.searchsorted(grams, a), len(grams) - 1)
+        hit = grams[place] == a
+        lo, n = first[place[hit]], (ends - first)[place[hit]]
+        flat = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        yield np.bincount(item[flat], weight[flat] * np.repeat(w[hit], n), len(c_at))
+
+
+def _dense_product(cells: list[list[bytes]]) -> Iterator[np.ndarray]:
+    width = max(map(len, cells[0] + cells[1]))
+    if {len(v) for v in cells[0] + cells[1]} - {0, width}:
+        raise ValueError("vectors differ in width")
+    q, c = (np.frombuffer(b"".join(v or bytes(width) for v in side)).reshape(len(side), -1) for side in cells)
+    for lo in range(0, len(q), 64):
+        yield from q[lo : lo + 64] @ c.T
+
+
+def lexical_search(queries: DataFrame, catalog: DataFrame, vocabulary: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", low: int = 3, high: int = 5, digits: int = 6, bound: int = BLOCK_BYTES, block: int = BLOCK) -> DataFrame:
+    """query_key, catalog_key, ordinal, score, rank by cosine under a fitted vocabulary; every query gets min(k, catalog) rows.
+
+    Exact: blocks of sparse vectors of both sides are multiplied, whatever the sizes. bound: of sparse_vectors.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    kinds = tuple(side.schema[key].dataType.simpleString() for side, key in ((queries, query_key), (catalog, catalog_key)))
-    grams = vocabulary.count()
-    if 8 * grams * catalog.count() <= BLOCK_BYTES * 2 and 64 * grams <= BLOCK_BYTES:
-        idf = {r.gram: r.idf for r in vocabulary.select("gram", "idf").orderBy("gram").collect()}
-        rows = catalog.select(F.col(catalog_key).alias("k"), F.col("ordinal").cast("long").alias("o"), F.lower(clean_text(F.col("text"))).alias("t")).orderBy("o").collect()
-        return _block_search(queries, idf, [r.k for r in rows], np.array([r.o for r in rows], np.int64), [r.t for r in rows], k, query_key, catalog_key, kinds, low, high, digits)
-    scores = lexical_scores(queries, catalog, vocabulary, query_key, catalog_key, low=low, high=high)
-    return top_k(complete(scores, queries, catalog, query_key, catalog_key, k), query_key, "ordinal", k, digits)
+    left = sparse_vectors(queries, vocabulary, query_key, low, high, bound).select(F.col(query_key).alias("key"), F.lit(0).cast("long").alias("ordinal"), "at", "weight")
+    right = sparse_vectors(catalog, vocabulary, catalog_key, low, high, bound).join(catalog.select(catalog_key, F.col("ordinal").cast("long").alias("ordinal")), catalog_key)
+    found = _block_top_k(left, right.withColumnRenamed(catalog_key, "key"), ["at", "weight"], _sparse_product, k, digits, block)
+    return top_k(found, "query", "ordinal", k, digits).select(F.col("query").alias(query_key), F.col("key").alias(catalog_key), "ordinal", "score", "rank")
+
 
+def pair_scores(pairs: DataFrame, queries: DataFrame, catalog: DataFrame, vocabulary: DataFrame, query_key: str = "google_id", catalog_key: str = "amazon_id", low: int = 3, high: int = 5) -> DataFrame:
+    """query_key, catalog_key, score of the given pairs alone: each pair's two sparse vectors are multiplied where they meet."""
 
-def lexical_top_k(queries: DataFrame, catalog: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", min_df: int = 1, max_features: int | None = 50_000) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, x, b, y in zip(*(batch.column(c).to_pylist() for c in ("at", "weight", "at2", "weight2"))):
+                _, i, j = np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True, return_indices=True)
+                out.append(float(np.frombuffer(x)[i] @ np.frombuffer(y)[j]))
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("item"), pa.array(out, pa.float64())], names=["query", "item", "score"])
+
+    own = pairs.select(query_key, catalog_key).distinct()
+    left = sparse_vectors(queries, vocabulary, query_key, low, high)
+    right = sparse_vectors(catalog, vocabulary, catalog_key, low, high).withColumnsRenamed({"at": "at2", "weight": "weight2"})
+    joined = own.join(left, query_key).join(right, catalog_key).select(F.col(query_key).alias("query"), F.col(catalog_key).alias("item"), "at", "weight", "at2", "weight2")
+    kinds = [joined.schema[c].dataType.simpleString() for c in ("query", "item")]
+    return joined.mapInArrow(run, f"query {kinds[0]}, item {kinds[1]}, score double").withColumnsRenamed({"query": query_key, "item": catalog_key})
+
+
+def lexical_top_k(queries: DataFrame, catalog: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", min_df: int = 1, max_features: int | None = 50_000, bound: int = BLOCK_BYTES, block: int = BLOCK) -> DataFrame:
     """query_key, catalog_key, ordinal, score, rank; the vocabulary is fitted on both sides. catalog also has ordinal."""
     both = queries.select("text").unionByName(catalog.select("text"))
     grams = cut(vocabulary_of(gram_statistics(both), both.count(), min_df, max_features), "vocabulary")
-    return lexical_search(queries, catalog, grams, k, query_key, catalog_key)
+    return lexical_search(queries, catalog, grams, k, query_key, catalog_key, bound=bound, block=block)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -221,45 +314,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))
 
 
-def dense_top_k(queries: DataFrame, catalog: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """query_key, catalog_key, ordinal, score, rank by cosine; every query gets min(k, catalog) rows.
+def dense_top_k(queries: DataFrame, catalog: DataFrame, k: int, query_key: str = "google_id", catalog_key: str = "amazon_id", vector: str = "embedding", digits: int = 6, block: int = BLOCK) -> DataFrame:
+    """query_key, catalog_key, ordinal, score, rank by cosine; every query gets min(k, catalog) rows, and null vectors score 0.
 
-    Queries are collected in blocks of BLOCK_BYTES at most, and each block is one matrix product for
-    every batch of the catalog, which keeps its own k best; the winners of all batches are ranked once.
+    Blocks of both sides are multiplied (_block_top_k); no vectors pass the driver.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    spark, found = queries.sparkSession, None
-    asked = queries.select(query_key, vector).toPandas()
-    if not len(asked):
-        return spark.createDataFrame([], f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {catalog_key} {catalog.schema[catalog_key].dataType.simpleString()}, ordinal long, score double, rank int")
-    whole = np.stack([np.asarray(v, np.float64) for v in asked[vector]])
-    lengths = np.linalg.norm(whole, axis=1, keepdims=True)
-    whole = np.divide(whole, lengths, out=np.zeros_like(whole), where=lengths > 0)
-    step = max(1, BLOCK_BYTES // (8 * whole.shape[1]))
-    kind = catalog.schema[catalog_key].dataType.simpleString()
-    for lo in range(0, len(whole), step):
-        block = spark.sparkContext.broadcast((whole[lo : lo + step], np.arange(lo, min(len(whole), lo + step))))
-
-        def best(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            q, ids = block.value
-            for batch in batches:
-                x = np.stack([np.asarray(v, np.float64) for v in batch.column("vector").to_pylist()]) if batch.num_rows else np.zeros((0, q.shape[1]))
-                if x.shape[1] != q.shape[1]:
-                    raise ValueError("vectors differ in width")
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(q @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T, digits)
-                ordinal = batch.column("ordinal").to_numpy(zero_copy_only=False)
-                order = np.lexsort((np.broadcast_to(ordinal, s.shape), -s), axis=1)[:, :k]
-                flat = order.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, order.shape[1])), batch.column("key").take(pa.array(flat)), pa.array(ordinal[flat]), pa.array(np.take_along_axis(s, order, 1).ravel())],
-                    names=["query", "key", "ordinal", "score"],
-                )
 
-        rows = catalog.select(F.col(catalog_key).alias("key"), F.col("ordinal").cast("long").alias("ordinal"), F.col(vector).cast("array<double>").alias("vector"))
-        part = rows.mapInArrow(best, f"query long, key {kind}, ordinal long, score double")
-        found = part if found is None else found.unionByName(part)
-    names = spark.createDataFrame(asked[[query_key]].assign(query=np.arange(len(asked))), f"{query_key} {queries.schema[query_key].dataType.simpleString()}, query long")
-    ranked = top_k(found, "query", "ordinal", k, digits)
-    return ranked.join(names, "query").select(query_key, F.col("key").alias(catalog_key), "ordinal", "score", "rank")
+    def side(rows: DataFrame, key: str, ordinal) -> DataFrame:
+        kind = rows.schema[key].dataType.simpleString()
+
+        def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for v in batch.column("v").to_pylist():
+                    x = np.array(v or [], np.float64)
+                    n = np.sqrt((x * x).sum())
+                    found.append((x / n if n > 0 else x).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("ordinal"), pa.array(found, pa.binary())], names=["key", "ordinal", "unit"])
+
+        own = rows.select(F.col(key).alias("key"), ordinal.cast("long").alias("ordinal"), F.col(vector).cast("array<double>").alias("v"))
+        return own.mapInArrow(unit, f"key {kind}, ordinal long, unit binary")
+
+    found = _block_top_k(side(queries, query_key, F.lit(0)), side(catalog, catalog_key, F.col("ordinal")), ["unit"], _dense_product, k, digits, block)
+    return top_k(found, "query", "ordinal", k, digits).select(F.col("query").alias(query_key), F.col("key").alias(catalog_key), "ordinal", "score", "rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -28,9 +29,9 @@ def target_counts(total: int, ratios: tuple[float, ...]) -> list[int]:
 
 def check_ratios(ratios: tuple[float, ...]) -> None:
     if len(ratios) != len(SPLITS) or min(ratios) < 0:
-        raise ValueError("ratios must contain three non-negative values")
+        raise ValueError("three ratios are needed, none below zero")
     if abs(sum(ratios) - 1) > 1e-9:
-        raise ValueError("split ratios must sum to 1")
+        raise ValueError("the ratios of all splits together must be 1")
 
 
 def deal_components(sizes: DataFrame, seed: int, ratios: tuple[float, ...]) -> DataFrame:
@@ -69,7 +70,7 @@ def canonical(assignments: DataFrame) -> DataFrame:
         text = F.trim(F.col(c).cast("string"))
         return F.when(F.coalesce(text, F.lit("")) == "", F.raise_error(F.lit(f"{c} must not be missing or blank"))).otherwise(text)
 
-    split = filled("split")
+    split = F.lower(filled("split"))
     size = F.col("duplicate_group_size").cast("double")
     whole = (size >= 1) & (size == F.floor(size))
     return assignments.select(
@@ -124,18 +125,51 @@ def rows_by_split(assignments: DataFrame) -> DataFrame:
     return names.join(assignments.groupBy("split").agg(F.count(F.lit(1)).alias("n")), "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def csv_lines(assignments: DataFrame) -> DataFrame:
+    """google_id, line: the canonical rows as CSV lines, quoted only where needed; Booleans are True and False."""
+
+    def cell(c: str):
+        text = F.when(F.col(c), "True").otherwise("False") if c == "ambiguous_label" else F.col(c).cast("string")
+        return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return canonical(assignments).select("google_id", F.concat_ws(",", *map(cell, COLUMNS)).alias("line"))
+
+
 def digest(assignments: DataFrame) -> DataFrame:
-    """rows, digest: a digest of row digests in order of id, in two levels so that no task holds all rows."""
-    line = F.sha2(F.concat_ws(",", *(F.col(c).cast("string") for c in COLUMNS)), 256)
-    parts = assignments.groupBy(F.substring(F.sha2("google_id", 256), 1, 3).alias("part")).agg(
-        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("google_id", line.alias("line")))), lambda x: x.line), "\n"), 256).alias("digest")
-    )
-    return parts.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x.digest), "\n"), 256).alias("digest"))
+    """rows, digest: SHA-256 of the canonical CSV (header, then rows by google_id), which is sequential.
+
+    Spark sorts by range; the driver then reads one partition after the other and keeps a hash state
+    alone.
+    """
+    whole, rows = hashlib.sha256((",".join(COLUMNS) + "\n").encode()), 0
+    for r in csv_lines(assignments).orderBy("google_id").select("line").toLocalIterator():
+        whole.update(r.line.encode() + b"\n")
+        rows += 1
+    return assignments.sparkSession.createDataFrame([(rows, whole.hexdigest())], "rows long, digest string")
 
 
 def pick(listings: DataFrame, assignments: DataFrame, split: str, key: str = "product_id") -> DataFrame:
-    """The listings of one split."""
+    """The listings of one split; one without any split raises when rows are computed."""
     if split not in SPLITS:
         raise ValueError(f"unknown split: {split}")
-    chosen = assignments.filter(F.col("split") == split).select(F.col("google_id").alias(key))
-    return listings.join(chosen, key, "left_semi")
+    lost = F.raise_error(F.concat(F.lit("no split for listing "), F.col(key))).cast("string")
+    own = listings.join(assignments.select(F.col("google_id").alias(key), F.col("split").alias("_split")), key, "left")
+    return own.filter(F.coalesce("_split", lost) == split).select(*listings.columns)
+
+
+def training_summary(assignments: DataFrame, gold: DataFrame, training: DataFrame) -> DataFrame:
+    """split, listings, gold_pairs, ambiguous_rows, training_pairs, training_positives of each split.
+
+    training: google_id, label of the pairs a matcher learns from; other splits than train have none.
+    """
+    of = assignments.select("google_id", "split", "ambiguous_label")
+    parts = [
+        of.select("split", F.lit(1).alias("listings"), F.col("ambiguous_label").cast("int").alias("ambiguous_rows")),
+        gold.distinct().join(of, "google_id").select("split", F.lit(1).alias("gold_pairs")),
+        training.join(of, "google_id").select("split", F.lit(1).alias("training_pairs"), F.col("label").cast("int").alias("training_positives")),
+    ]
+    rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    names = assignments.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
+    counts = ("listings", "gold_pairs", "ambiguous_rows", "training_pairs", "training_positives")
+    sums = rows.groupBy("split").agg(*(F.sum(c).alias(c) for c in counts))
+    return names.join(sums, "split", "left").select("split", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
+from decimal import Decimal
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +19,22 @@ TABLES = ("catalog", "vocabulary", "catalog_vectors", "assignments")
 
 
 def canonical_json(value: Any) -> str:
-    """Sorted keys; missing and not-a-number values as null."""
+    """Sorted keys; missing and not-a-number values as null; numbers and arrays of other libraries as plain ones."""
 
     def fix(v):
         if isinstance(v, dict):
             return {str(k): fix(x) for k, x in v.items()}
-        if isinstance(v, (list, tuple)):
-            return [fix(x) for x in v]
-        return None if isinstance(v, float) and v != v else v
+        if isinstance(v, np.generic) or isinstance(v, np.ndarray):
+            return fix(v.item() if v.ndim == 0 else v.tolist())
+        if isinstance(v, (list, tuple, set, frozenset)):
+            return [fix(x) for x in (sorted(v) if isinstance(v, (set, frozenset)) else v)]
+        if v is None or isinstance(v, (bool, int, str)):
+            return v
+        if isinstance(v, float):
+            return v if math.isfinite(v) else None
+        return fix(float(v)) if isinstance(v, Decimal) else str(v)
 
-    return json.dumps(fix(value), sort_keys=True, indent=2, default=str)
+    return json.dumps(fix(value), sort_keys=True, indent=2)
 
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
@@ -40,7 +49,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def split_metadata(assignments: DataFrame) -> dict[str, Any]:
-    whole = splits.digest(splits.canonical(assignments)).first()
+    whole = splits.digest(assignments).first()
     return {"sha256": whole.digest, "row_count": whole.rows or 0, "rows_by_split": {r.split: r.n for r in splits.rows_by_split(assignments).collect()}}
 
 

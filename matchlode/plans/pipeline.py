@@ -48,26 +48,23 @@ def fit_vocabulary(catalog: DataFrame, train: DataFrame, config: Config) -> Data
 
 
 def retrieve(listings: DataFrame, catalog: DataFrame, vocabulary: DataFrame, catalog_vectors: DataFrame, encoder: Encoder, config: Config, gold: DataFrame | None = None, inject: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Candidates and the whole pool, with both scores for every pair. Only candidates get gold pairs put in."""
+    """Candidates with both scores, and the whole pool. Only candidates get gold pairs put in, and only their pairs are scored."""
     if inject and gold is None:
         raise ValueError("injection needs gold pairs")
     low, high = config.tfidf_ngram_range
     queries, items = _texts(listings, "google_id"), _texts(catalog, "amazon_id")
-    lexical = cut(search.lexical_scores(queries, items, vocabulary, low=low, high=high), "lexical")
     vectors = cut(_vectors(listings, "google_id", encoder), "vectors")
     k = config.top_k
     left = search.lexical_search(queries, items, vocabulary, k, low=low, high=high)
     right = search.dense_top_k(vectors, catalog_vectors, k)
     pool = cut(fusion.union_pool(left, right, config.rrf_constant), "pool")
-    known = gold.join(listings.select(F.col("product_id").alias("google_id")), "google_id", "left_semi").join(catalog.select(F.col("product_id").alias("amazon_id")), "amazon_id", "left_semi") if inject else None
-    picked = fusion.inject_gold(pool, known, k) if inject else fusion.fused(pool, k)
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        own = pairs.drop("lexical_score", "dense_score").join(lexical.withColumnRenamed("score", "lexical_score"), fusion.KEYS, "left")
-        own = own.join(vectors.select("google_id", F.col("embedding").alias("_q")), "google_id").join(catalog_vectors.select("amazon_id", F.col("embedding").alias("_c")), "amazon_id")
-        return own.select(*fusion.KEYS, F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"), search.cosine(F.col("_q"), F.col("_c")).alias("dense_score"), "lexical_rank", "dense_rank", "rrf_score", "rrf_rank", "retrieval_sources", "gold_injected")
-
-    return cut(scored(picked), "candidates"), pool
+    known = gold.join(queries.select("google_id"), "google_id", "left_semi").join(items.select("amazon_id"), "amazon_id", "left_semi") if inject else None
+    picked = cut(fusion.inject_gold(pool, known, k) if inject else fusion.fused(pool, k), "picked")
+    lexical = search.pair_scores(picked, queries, items, vocabulary, low=low, high=high)
+    own = picked.drop("lexical_score", "dense_score").join(lexical.withColumnRenamed("score", "lexical_score"), fusion.KEYS, "left")
+    own = own.join(vectors.select("google_id", F.col("embedding").alias("_q")), "google_id").join(catalog_vectors.select("amazon_id", F.col("embedding").alias("_c")), "amazon_id")
+    scored = own.select(*fusion.KEYS, F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"), search.cosine(F.col("_q"), F.col("_c")).alias("dense_score"), "lexical_rank", "dense_rank", "rrf_score", "rrf_rank", "retrieval_sources", "gold_injected")
+    return cut(scored, "candidates"), pool
 
 
 def _one(df: DataFrame) -> dict[str, Any]:
@@ -76,10 +73,11 @@ def _one(df: DataFrame) -> dict[str, Any]:
 
 def evaluate(candidates: DataFrame, pool: DataFrame, listings: DataFrame, catalog: DataFrame, gold: DataFrame, groups: DataFrame, model: matcher.Matcher, thresholds: dict[str, float | None], config: Config, seconds: float = 0.0) -> tuple[dict[str, Any], DataFrame, DataFrame]:
     """All metrics of one split, its listing predictions and error examples."""
-    pairs = cut(matcher.predict(pair_features(candidates, listings, catalog, check=False), model), "scored")
+    pairs = cut(matcher.predict(pair_features(candidates, listings, catalog), model), "scored")
     own_gold = gold.join(listings.select(F.col("product_id").alias("google_id")), "google_id", "left_semi")
     decisions = cut(ranking.listing_predictions(pairs, own_gold, groups, thresholds["no_match_threshold"], thresholds["match_threshold"]), "decisions")
-    lost = listings.select(F.col("product_id").alias("google_id")).join(decisions, "google_id", "left_anti")
+    ids = listings.select(F.col("product_id").alias("google_id"))
+    lost = ids.join(decisions, "google_id", "left_anti")
     if not lost.isEmpty():
         raise ValueError("a listing has no candidates")
     rows = fusion.with_label(pairs, own_gold).withColumn("score", F.col("probability"))
@@ -90,8 +88,8 @@ def evaluate(candidates: DataFrame, pool: DataFrame, listings: DataFrame, catalo
     recall = metrics.recall_at_k(pool, own_gold, config.recall_ks, config.top_k).collect()  # a row a channel and k
     report = {
         "retrieval": {f"{r.channel}_recall_at_{r.k}": r.recall for r in recall} | _one(metrics.candidate_counts(candidates, listings.select(F.col("product_id").alias("google_id")))) | {"seconds": seconds},
-        "score_baselines": [r.asDict() for r in ranking.score_baselines(pairs, own_gold, ("lexical_score", "dense_score", "rrf_score")).collect()],
-        "matcher_ranking": _one(ranking.ranking_metrics(pairs, own_gold)),
+        "score_baselines": [r.asDict() for r in ranking.score_baselines(pairs, own_gold, ("lexical_score", "dense_score", "rrf_score"), ids).collect()],
+        "matcher_ranking": _one(ranking.ranking_metrics(pairs, own_gold, listings=ids)),
         "pair_matching": _one(metrics.pair_metrics(rows)) | _one(metrics.average_precision(rows)) | _one(metrics.roc_auc(rows)),
         "calibration": {"pair_level": _one(metrics.brier(rows)), "top_candidate": _one(metrics.brier(top)), "pair_bins": [r.asDict() for r in metrics.reliability_bins(rows).orderBy("bin").collect()]},
         "listing_policy": _one(policy.listing_report(said)),
@@ -145,19 +143,20 @@ def develop(catalog: DataFrame, listings: DataFrame, gold: DataFrame, config: Co
     candidates, pool = retrieve(validation, catalog, vocabulary, vectors, encoder, config)
     seconds = time.perf_counter() - began
     ambiguous = assignments.filter("ambiguous_label").select("google_id")
-    rows = fusion.with_label(pair_features(fitted, train, catalog, check=False), gold).join(ambiguous, "google_id", "left_anti").join(assignments.select("google_id", F.col("component_id").alias("group_id")), "google_id")
+    rows = fusion.with_label(pair_features(fitted, train, catalog), gold).join(ambiguous, "google_id", "left_anti").join(assignments.select("google_id", F.col("component_id").alias("group_id")), "google_id")
     rows = cut(rows.select("group_id", "label", *HYBRID, *RANK), "training")
-    clear = cut(pair_features(candidates, validation, catalog, check=False).join(ambiguous, "google_id", "left_anti"), "validation_features")
+    clear = cut(pair_features(candidates, validation, catalog).join(ambiguous, "google_id", "left_anti"), "validation_features")
     own_gold = gold.join(validation.select(F.col("product_id").alias("google_id")), "google_id", "left_semi").join(ambiguous, "google_id", "left_anti")
+    own_ids = validation.select(F.col("product_id").alias("google_id")).join(ambiguous, "google_id", "left_anti")
     models, table = {}, []
     for name, columns in VARIANTS.items():
         models[name] = matcher.fit(rows, columns, config.calibration_folds, config.model_seed)
         scored = matcher.predict(clear, models[name])
         labelled = fusion.with_label(scored, own_gold).withColumn("score", F.col("probability"))
-        one = _one(ranking.ranking_metrics(scored, own_gold))
+        one = _one(ranking.ranking_metrics(scored, own_gold, listings=own_ids))
         table.append({"model": name, **one, **_one(metrics.average_precision(labelled)), **_one(metrics.roc_auc(labelled)), "feature_count": len(columns)})
     best = matcher.select_model(table)
-    pairs = matcher.predict(pair_features(candidates, validation, catalog, check=False), models[best])
+    pairs = matcher.predict(pair_features(candidates, validation, catalog), models[best])
     thresholds, diagnostics = _select_policy(pairs, gold, assignments, config)
     report, decisions, found = evaluate(candidates, pool, validation, catalog, gold, assignments.select("google_id", "duplicate_group_id"), models[best], thresholds, config, seconds)
     report |= {"models": table, "selected_model": best, "policy": thresholds}
@@ -189,7 +188,7 @@ def score_listings(listings: DataFrame, folder: str, encoder: Encoder = hashing_
     tables, model, run = artifacts.load(spark, f"{folder}/artifacts")
     config = artifacts.load_config(run)
     candidates, _ = retrieve(listings, tables["catalog"], tables["vocabulary"], tables["catalog_vectors"], encoder, config)
-    pairs = ranking.ranked(matcher.predict(pair_features(candidates, listings, tables["catalog"], check=False), model))
+    pairs = ranking.ranked(matcher.predict(pair_features(candidates, listings, tables["catalog"]), model))
     action = F.when(F.col("model_rank") == 1, policy_action(F.col("probability"), run["policy"]["no_match_threshold"], run["policy"]["match_threshold"]))
     shown = pairs.select("google_id", "amazon_id", "probability", "model_rank", "retrieval_sources", "lexical_similarity", "dense_similarity", action.alias("action"))
     names = tables["catalog"].select(F.col("product_id").alias("amazon_id"), "title", "manufacturer", "price")

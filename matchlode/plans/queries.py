@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..functions.fuzzy import indel_similarity, token_set_similarity
 from ..operators import duplicates, errors, features, fusion, matcher, metrics, policy, ranking, search, splits
-from ..sources import tables
-from ..storage import cut
+from ..sources import raw, tables
+from ..sources.config import Config
+from ..storage import cut, new_folder
+from . import pipeline
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -143,13 +145,53 @@ def split_counts(spark, sf):
 
 @query
 def split_isolation_check(spark, sf):
-    made = splits.entity_splits(tables.listings(spark, sf), _partial_gold(spark, sf))
-    return splits.isolation_violations(made).agg(F.count(F.lit(1)).alias("violations"))
+    """Violations in a split by id alone, which tears groups and components apart, and in one by component, which does not."""
+    groups, gold = _groups(spark, sf)
+    made = cut(duplicates.component_labels(duplicates.entity_components(groups, gold)).join(groups, "google_id"), "components")
+    by = {"id": F.col("google_id").cast("long"), "component": F.substring("component_id", 11, 20).cast("long")}
+    found = [splits.isolation_violations(made.withColumn("split", F.element_at(F.array(*map(F.lit, splits.SPLITS)), (c % 3 + 1).cast("int")))).withColumn("rule", F.lit(r)) for r, c in by.items()]
+    return reduce(DataFrame.unionByName, found).select("rule", "kind", "key", "splits")
+
+
+def _assigned(spark, sf):
+    """Components dealt out by number: whole, and the same in any engine."""
+    groups, gold = _groups(spark, sf)
+    made = duplicates.component_labels(duplicates.entity_components(groups, gold)).join(groups, "google_id")
+    number = F.substring("component_id", 11, 20).cast("long")
+    return cut(made.withColumn("split", F.element_at(F.array(*map(F.lit, splits.SPLITS)), (number % 3 + 1).cast("int"))), "assigned"), gold
 
 
 @query
 def assignment_digest(spark, sf):
-    return splits.digest(splits.canonical(splits.entity_splits(tables.listings(spark, sf), _partial_gold(spark, sf))))
+    return splits.digest(_assigned(spark, sf)[0])
+
+
+@query
+def assignment_csv(spark, sf):
+    return splits.csv_lines(_assigned(spark, sf)[0]).orderBy("google_id")
+
+
+@query
+def assigned_split_counts(spark, sf):
+    return splits.rows_by_split(_assigned(spark, sf)[0])
+
+
+@query
+def split_listings(spark, sf):
+    """The listings of each split, as a run takes them."""
+    made, _ = _assigned(spark, sf)
+    own = tables.listings(spark, sf)
+    return reduce(DataFrame.unionByName, (splits.pick(own, made, s).select("product_id", F.lit(s).alias("split")) for s in splits.SPLITS))
+
+
+@query
+def training_summary(spark, sf):
+    """Learned from: the pairs of train listings without an ambiguous label, each with its gold items and the first item."""
+    made, gold = _assigned(spark, sf)
+    first = tables.catalog(spark, sf).agg(F.min("product_id").alias("amazon_id"))
+    own = made.filter("split = 'train' AND NOT ambiguous_label").select("google_id")
+    pairs = own.crossJoin(F.broadcast(first)).unionByName(gold.join(own, "google_id", "left_semi").select("google_id", "amazon_id")).distinct()  # one row
+    return splits.training_summary(made, gold, fusion.with_label(pairs, gold))
 
 
 # --- lexical index and search ---
@@ -175,6 +217,32 @@ def lexical_topk(spark, sf):
     return search.lexical_top_k(left, right, 5).select("google_id", "amazon_id", "score", "rank")
 
 
+@query
+def lexical_topk_postings(spark, sf):
+    """lexical_topk for a vocabulary too large to be sent to the tasks, over the two shops."""
+    left, right = pipeline._texts(tables.shop_listings(spark, sf), "google_id"), pipeline._texts(tables.shop_catalog(spark, sf), "amazon_id")
+    return search.lexical_top_k(left, right, 3, bound=0).select("google_id", "amazon_id", "score", "rank")
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letter_encoder(texts: DataFrame) -> DataFrame:
+    """key, embedding: how often each letter and digit occurs. An encoder that any engine can follow."""
+    t = F.lower("text")
+    return texts.select("key", F.array(*((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("float") for c in LETTERS)).alias("embedding"))
+
+
+@query
+def hybrid_retrieval(spark, sf):
+    """Both channels over the same texts of the two shops, fused: what a run retrieves."""
+    own, listings, settings = cut(tables.shop_catalog(spark, sf), "catalog"), cut(tables.shop_listings(spark, sf), "listings"), Config(top_k=TOP)
+    vocabulary = cut(pipeline.fit_vocabulary(own, listings, settings), "vocabulary")
+    vectors = cut(pipeline._vectors(own, "amazon_id", letter_encoder), "catalog_vectors")
+    found, _ = pipeline.retrieve(listings, own, vocabulary, vectors, letter_encoder, settings)
+    return rounded(found).select("google_id", "amazon_id", "lexical_score", "dense_score", "lexical_rank", "dense_rank", "rrf_score", "rrf_rank", "retrieval_sources")
+
+
 @query
 def dense_topk(spark, sf):
     q, c = tables.queries_and_vectors(spark, sf)
@@ -231,13 +299,32 @@ def rank_features(spark, sf):
     return rounded(_pool(spark, sf).select("google_id", "amazon_id", both.alias("source_agreement"), stats.reciprocal_rank(F.col("lexical_rank")).alias("lexical_reciprocal"), stats.reciprocal_rank(F.col("dense_rank")).alias("dense_reciprocal")))
 
 
-def _featured(spark, sf):
-    return features.pair_features(tables.gold(spark, sf), tables.listings(spark, sf), tables.catalog(spark, sf), check=False)
+@query
+def pair_features(spark, sf):
+    """All features of two shops' products, with makers, prices, scores and ranks that may be missing."""
+    made = features.pair_features(tables.shop_pairs(spark, sf), tables.shop_listings(spark, sf), tables.shop_catalog(spark, sf))
+    return rounded(made.select("google_id", "amazon_id", "step", *features.HYBRID, *features.RANK))
 
 
 @query
-def pair_features(spark, sf):
-    return rounded(_featured(spark, sf).drop(*features.RANK, "title_fuzzy_similarity", "manufacturer_fuzzy_similarity", "lexical_similarity", "dense_similarity"))
+def duplicate_signatures(spark, sf):
+    """Group ids of products with prices: the exact number is part of the signature."""
+    return duplicates.signatures(tables.shop_listings(spark, sf)).select("google_id", "duplicate_group_id")
+
+
+@query
+def raw_files(spark, sf):
+    """The shop's catalog written as a raw file with odd headers, quotes, markers and missing-value words, and read again."""
+    own = tables.shop_catalog(spark, sf)
+    price = F.format_string("%.2f", "price")
+    marked = F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("$"), price)).when(F.col("ordinal") % 3 == 1, F.concat(F.lit("USD "), price)).otherwise(F.concat(F.lit("gbp "), price))
+    rows = own.select(
+        F.concat(F.lit(" "), "product_id", F.lit(" ")).alias("ID"), F.concat(F.lit('"'), "title", F.lit('",\n x')).alias("Title "), F.when(F.col("manufacturer") == "", "N/A").otherwise(F.col("manufacturer")).alias("Manu-facturer"),
+        F.col("description").alias("description"), F.when(F.col("price").isNull(), "NaN").otherwise(marked).alias("PRICE"),
+    )
+    path = new_folder(spark, "raw")
+    rows.coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True).option("encoding", "ISO-8859-1").csv(path)
+    return raw.products(raw.read_csv(spark, path), "amazon").select("product_id", "title", "manufacturer", "description", "price", "source")
 
 
 def _part_names(spark, sf):
@@ -270,14 +357,23 @@ def top_margin(spark, sf):
     return rounded(ranking.top_margins(_pool(spark, sf), SCORE).select("google_id", "amazon_id", "top1_top2_margin"))
 
 
+def _incomplete(spark, sf):
+    """The pool without the candidates of some evaluated listings, gold, and the ids of evaluated listings: all but some."""
+    number = F.col("google_id").cast("long")
+    ids = tables.queries_and_vectors(spark, sf)[0].select("google_id").filter(number % 500 != 300)
+    return _pool(spark, sf).filter(number % 700 != 0), tables.vector_gold(spark, sf), ids
+
+
 @query
 def ranking_metrics(spark, sf):
-    return rounded(ranking.ranking_metrics(_pool(spark, sf), tables.vector_gold(spark, sf), SCORE))
+    own, gold, ids = _incomplete(spark, sf)
+    return rounded(ranking.ranking_metrics(own, gold, SCORE, ids))
 
 
 @query
 def score_baselines(spark, sf):
-    return rounded(ranking.score_baselines(_pool(spark, sf), tables.vector_gold(spark, sf), ("lexical_score", "dense_score", "rrf_score")))
+    own, gold, ids = _incomplete(spark, sf)
+    return rounded(ranking.score_baselines(own, gold, ("lexical_score", "dense_score", "rrf_score"), ids))
 
 
 @query
@@ -309,7 +405,7 @@ def ranking_outcome(spark, sf):
 
 @query
 def action_statistics(spark, sf):
-    return rounded(policy.action_statistics(_decisions(spark, sf)))
+    return rounded(policy.action_statistics(_decisions(spark, sf), "group_id"))
 
 
 @query
@@ -345,6 +441,16 @@ def threshold_selection(spark, sf):
     return policy.select_thresholds(_diagnostics(spark, sf))
 
 
+@query
+def selected_evidence(spark, sf):
+    """What the chosen thresholds rest on, and a disabled action."""
+    made = cut(_diagnostics(spark, sf), "diagnostics")
+    chosen = policy.select_thresholds(made).first().asDict()
+    both = policy.selected_evidence(made, chosen).withColumn("chosen", F.lit(True)).unionByName(policy.selected_evidence(made, {"no_match_threshold": 0.2, "match_threshold": None}).withColumn("chosen", F.lit(False)))
+    flat = [F.col(f"{v}.{k}").alias(f"{v}_{k}") for v in ("group_evidence", "listing_operation") for k in policy.EVIDENCE]
+    return rounded(both.select("chosen", "action", "feasible", "enabled", "threshold", *flat))
+
+
 @query
 def listing_policy_report(spark, sf):
     return rounded(policy.listing_report(_decisions(spark, sf)))

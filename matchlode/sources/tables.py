@@ -63,3 +63,36 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", ((F.col("n_chars") * 7919 + F.col("doc_id") * 104729) % 1001 / 1000.0).alias("score"), F.col("quality").alias("label"), F.md5(normalized(F.col("text"))).alias("group_id"),
         (F.col("quality") == 1).alias("has_gold_listing"), pair.alias("is_gold_pair"), (pair | (F.col("doc_id") % 7 != 0)).alias("gold_retrieved"),
     )
+
+
+def shop_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as products with makers and prices, some of them missing."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    return p.select(
+        F.concat(F.lit("p"), k).alias("product_id"), k.cast("long").alias("ordinal"), F.concat_ws(" ", "p_name", F.lower("p_type"), F.concat(F.lit("m"), k, F.lit("-"), "p_size")).alias("title"),
+        F.when(k % 7 == 0, "").otherwise(F.col("p_brand")).alias("manufacturer"), F.when(k % 11 == 0, "").otherwise(F.concat_ws(" ", "p_type", "p_name", F.lit("of size"), "p_size")).alias("description"),
+        F.when(k % 13 != 0, F.col("p_retailprice")).alias("price"),
+    )
+
+
+def shop_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same parts as another shop writes them."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    tail = F.when(k % 3 == 0, F.lit(" new")).otherwise(F.concat(F.lit("-"), "p_size"))
+    return p.select(
+        F.concat(F.lit("g"), k).alias("product_id"), k.cast("long").alias("ordinal"), F.concat(F.upper("p_name"), F.lit("  m"), k, tail).alias("title"),
+        F.when(k % 4 != 0, F.lower("p_brand")).alias("manufacturer"), F.when(k % 5 != 0, F.col("p_name")).alias("description"), F.when(k % 6 != 0, F.col("p_retailprice") * 1.05).alias("price"),
+    )
+
+
+def shop_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each listing with its own part and the next one, with scores and ranks as a search would give them."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(k, "p_size", F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
+    last = table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("last"))
+    item = F.least(k + F.col("step"), F.col("last"))
+    return p.crossJoin(F.broadcast(last)).select(  # one row
+        F.concat(F.lit("g"), k).alias("google_id"), F.concat(F.lit("p"), item).alias("amazon_id"), "step",
+        F.when(k % 9 != 0, F.col("p_size") / 64).alias("lexical_score"), F.when(k % 8 != 0, F.col("p_size") / 50 - 0.25).alias("dense_score"),
+        F.when(k % 3 != 0, k % 5 + 1).cast("int").alias("lexical_rank"), F.when(k % 4 != 0, k % 7 + 1).cast("int").alias("dense_rank"),
+    )

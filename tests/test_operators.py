@@ -1,5 +1,7 @@
 """Operators on small tables with known results."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,25 +82,56 @@ def test_char_grams_follow_word_bounds(spark):
     assert sorted(got) == sorted(want)
 
 
-@pytest.mark.parametrize("block", [1 << 26, 0])
-def test_exact_search_fills_up_with_zero_scores(spark, monkeypatch, block):
-    monkeypatch.setattr(search, "BLOCK_BYTES", block)  # 0: through postings
+@pytest.mark.parametrize(("bound", "block"), [(1 << 26, 1 << 20), (0, 1 << 20), (1 << 26, 1)])
+def test_exact_search_fills_up_with_zero_scores(spark, bound, block):
     catalog = spark.createDataFrame([("a", 0, "red chair"), ("b", 1, "blue table"), ("c", 2, "red table")], "amazon_id string, ordinal long, text string")
     queries = spark.createDataFrame([("q", "red table"), ("r", "zzzz"), ("s", "")], "google_id string, text string")
-    got = {(r.google_id, r["rank"]): r.amazon_id for r in search.lexical_top_k(queries, catalog, 2).collect()}
+    got = {(r.google_id, r["rank"]): r.amazon_id for r in search.lexical_top_k(queries, catalog, 2, bound=bound, block=block).collect()}
     assert got[("q", 1)] == "c" and got[("r", 1)] == got[("s", 1)] == "a" and got[("r", 2)] == got[("s", 2)] == "b"
     with pytest.raises(ValueError):
         search.top_k(catalog, "amazon_id", "ordinal", 0)
 
 
-def test_dense_search_matches_brute_force(spark, monkeypatch):
+def test_lexical_search_matches_brute_force(spark):
+    rng, words = np.random.default_rng(4), ["red", "blue", "chair", "table", "lamp", "oak", "x200"]
+    text = lambda: " ".join(rng.choice(words, rng.integers(1, 6)))
+    queries = spark.createDataFrame([(f"q{i}", text()) for i in range(30)], "google_id string, text string").repartition(3)
+    catalog = spark.createDataFrame([(f"c{i}", i, text()) for i in range(50)], "amazon_id string, ordinal long, text string").repartition(4)
+    grams = lambda t: [g for w in t.split(" ") for g in search.word_grams(w, 3, 5)]
+    texts = [r.text for r in queries.select("text").union(catalog.select("text")).collect()]
+    df = Counter(g for t in texts for g in set(grams(t)))
+    idf = {g: np.log((1 + len(texts)) / (1 + n)) + 1 for g, n in df.items()}
+
+    def vector(t):
+        v = {g: (1 + np.log(n)) * idf[g] for g, n in Counter(grams(t)).items()}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {g: x / length for g, x in v.items()}
+
+    items = [(r.amazon_id, r.ordinal, vector(r.text)) for r in catalog.collect()]
+    want = {}
+    for r in queries.collect():
+        own = vector(r.text)
+        scores = sorted((-round(sum(x * v.get(g, 0) for g, x in own.items()), 6), o, key) for key, o, v in items)
+        want |= {(r.google_id, i + 1): (key, -s) for i, (s, _, key) in enumerate(scores[:6])}
+    for bound, block in ((1 << 26, 1 << 20), (0, 500)):
+        found = {(r.google_id, r["rank"]): (r.amazon_id, r.score) for r in search.lexical_top_k(queries, catalog, 6, bound=bound, block=block).collect()}
+        assert found.keys() == want.keys() and all(found[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
+        assert sum(found[k][0] != want[k][0] for k in want) <= 2  # scores that differ in the last digit alone
+    vocabulary = search.vocabulary_of(search.gram_statistics(queries.select("text").union(catalog.select("text"))), len(texts))
+    pair = spark.createDataFrame([("q3", "c7"), ("q3", "c7"), ("q4", "c9")], "google_id string, amazon_id string")
+    texts = {r.google_id: r.text for r in queries.collect()}
+    items = {key: v for key, _, v in items}
+    got = {(r.google_id, r.amazon_id): r.score for r in search.pair_scores(pair, queries, catalog, vocabulary).collect()}
+    assert got == {(q, c): pytest.approx(sum(x * items[c].get(g, 0) for g, x in vector(texts[q]).items())) for q, c in {("q3", "c7"), ("q4", "c9")}}
+
+
+def test_dense_search_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     q, c = rng.normal(size=(7, 5)).astype(np.float32), rng.normal(size=(60, 5)).astype(np.float32)
     c[3] = 0
-    monkeypatch.setattr(search, "BLOCK_BYTES", 100)  # two queries at once
     qs = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)], "google_id string, embedding array<float>")
     cs = spark.createDataFrame([(f"c{i}", i, v.tolist()) for i, v in enumerate(c)], "amazon_id string, ordinal long, embedding array<float>").repartition(4)
-    got = {(r.google_id, r["rank"]): r.amazon_id for r in search.dense_top_k(qs, cs, 4).collect()}
+    got = {(r.google_id, r["rank"]): r.amazon_id for r in search.dense_top_k(qs, cs, 4, block=100).collect()}
     unit = lambda x: x / np.maximum(1e-30, np.linalg.norm(x.astype(float), axis=1, keepdims=True))
     order = np.argsort(-np.round(unit(q) @ unit(c).T, 6), axis=1, kind="stable")
     assert got == {(f"q{i}", k + 1): f"c{order[i, k]}" for i in range(7) for k in range(4)}
@@ -124,8 +157,9 @@ def test_pair_features(spark):
     assert got.numeric_token_conflict == got.query_manufacturer_missing == got.query_description_missing == got.query_price_missing == got.candidate_price_missing == 1.0
     assert got.relative_price_difference == got.candidate_manufacturer_missing == 0.0 and got.title_token_jaccard == 0.5
     assert all(np.isfinite(got[c]) for c in (*HYBRID, *RANK))
-    with pytest.raises(ValueError, match="no product"):
-        pair_features(pairs(spark, [("g", "nope")]), left, right)
+    for lost in (("g", "nope"), ("nope", "a")):
+        with pytest.raises(Exception, match="no product has: nope"):
+            pair_features(pairs(spark, [lost]), left, right).collect()
 
 
 def test_top_rows_and_outcomes(spark):

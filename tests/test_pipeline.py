@@ -121,7 +121,7 @@ def test_lost_files_and_columns(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="gold"):
         raw.find_files(str(tmp_path))
     with pytest.raises(KeyError):
-        raw.column(spark.createDataFrame([(1,)], "x int"), "title", "name")
+        raw.roles(spark.createDataFrame([(1,)], "x int"), {"title": ("title", "name")})
     with pytest.raises(ValueError):
         raw.products(spark.createDataFrame([(1,)], "x int"), "ebay")
     with pytest.raises(ValueError):
