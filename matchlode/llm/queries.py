@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, toxicity
+from . import exact_dedup, language_id, mixing, oracles, toxicity
 from .bpe import encode
 from .exact_dedup import exact_groups
 from .language_model import score_documents
@@ -52,6 +52,11 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def language_model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7_language_model that SQL can express."""
+    return score_documents(documents(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     found = encode(documents(spark, sf_dir), public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, "doc_id")
     return found.select(
@@ -96,6 +101,13 @@ _ALL = (
     op8_bpe,
     op9_media,
     op10_language_id,
+    language_model_base,
 )
 QUERIES = {q.__name__: q for q in _ALL}
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op5_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRINGS,
+    "op2_line_dedup": oracles.LINES,
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+    "language_model_base": oracles.BASE_MODEL,
+}
