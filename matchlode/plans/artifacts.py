@@ -64,8 +64,23 @@ def freeze(folder: str, tables: dict[str, DataFrame], matcher: Matcher, model: s
     write_text(spark, f"{folder}/run.json", canonical_json(run))
 
 
+def write_assignments(assignments: DataFrame, path: str) -> None:
+    """Canonical assignments as CSV files in order of google_id; refuses to overwrite."""
+    own = splits.canonical(assignments).withColumn("ambiguous_label", F.when(F.col("ambiguous_label"), "True").otherwise("False"))
+    own.orderBy("google_id").write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+
+
+def read_assignments(spark: SparkSession, path: str) -> DataFrame:
+    """Assignments as write_assignments or other tools write them: ids stay text, whatever they look like."""
+    cells = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("inferSchema", False).csv(path)
+    return splits.canonical(cells)
+
+
 def load(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], Matcher, dict[str, Any]]:
     tables = {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+    empty = [name for name, table in tables.items() if table.isEmpty()]
+    if empty:
+        raise ValueError(f"frozen tables are empty: {empty}")
     return tables, Matcher.from_json(read_text(spark, f"{folder}/matcher.json")), json.loads(read_text(spark, f"{folder}/run.json"))
 
 
@@ -82,8 +97,8 @@ def check_metadata(value: Any) -> None:
         raise ValueError("the frozen split counts do not sum to the row count")
 
 
-def preflight(tables: dict[str, DataFrame], matcher: Matcher, run: dict[str, Any], config: Config, features: tuple[str, ...], raw_digests: dict[str, str] | None = None) -> None:
-    """Raises where a frozen run disagrees with the settings, the matcher, its tables or the raw files."""
+def preflight(tables: dict[str, DataFrame], matcher: Matcher, run: dict[str, Any], config: Config, features: tuple[str, ...], raw_digests: dict[str, str] | None = None, encoder: dict[str, str] | None = None) -> None:
+    """Raises where a frozen run disagrees with the settings, the matcher, its tables, the raw files or the encoder."""
     check_metadata(run.get("split_assignments"))
     changed = [k for k, v in config.plain().items() if run["config"].get(k) != v]
     if changed:
@@ -97,8 +112,10 @@ def preflight(tables: dict[str, DataFrame], matcher: Matcher, run: dict[str, Any
         raise ValueError("the frozen vectors do not fit the catalog")
     if split_metadata(tables["assignments"]) != run["split_assignments"]:
         raise ValueError("the assignments differ from the frozen digest")
-    if raw_digests is not None and raw_digests != run["inputs"].get("raw_csv_sha256"):
-        raise ValueError("raw files differ from the frozen run")
+    if raw_digests != run["inputs"].get("raw_csv_sha256"):
+        raise ValueError("raw files differ from the frozen run, or their digests are missing")
+    if encoder is not None and encoder != run["inputs"].get("encoder"):
+        raise ValueError("the encoder differs from that of the frozen run")
 
 
 def load_config(run: dict[str, Any]) -> Config:

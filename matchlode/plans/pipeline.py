@@ -14,6 +14,7 @@ from ..functions.text import combined
 from ..operators import errors, fusion, matcher, metrics, policy, ranking, search, splits
 from ..operators.features import HYBRID, RANK, VARIANTS, pair_features
 from ..sources.config import Config
+from ..sources.encoder import identity
 from ..storage import cut
 from . import artifacts
 
@@ -95,7 +96,7 @@ def evaluate(candidates: DataFrame, pool: DataFrame, listings: DataFrame, catalo
         "listing_policy": _one(policy.listing_report(said)),
         "action_statistics": [r.asDict() for r in policy.action_statistics(said).collect()],
         "no_match_detection": _one(metrics.no_match_detection(said)),
-        "sensitivity": _one(policy.listing_report(clear)) | _one(metrics.no_match_detection(clear)),
+        "sensitivity": _one(policy.listing_report(clear)) | _one(metrics.no_match_detection(clear)) | {"action_statistics": [r.asDict() for r in policy.action_statistics(clear).collect()]},
     }
     n = config.error_examples_per_type
     found = errors.pair_errors(rows.withColumn("ordinal", F.xxhash64("google_id", "amazon_id")), n).unionByName(errors.listing_errors(said, n), allowMissingColumns=True)
@@ -103,11 +104,14 @@ def evaluate(candidates: DataFrame, pool: DataFrame, listings: DataFrame, catalo
     return report, decisions, found
 
 
-def write_report(folder: str, report: dict[str, Any], tables: dict[str, DataFrame]) -> None:
-    """Metrics and tables of a run; refuses a folder that is there."""
+def write_report(folder: str, report: dict[str, Any], tables: dict[str, DataFrame], csv: dict[str, DataFrame] | None = None) -> None:
+    """Metrics and tables of a run, and small tables as one CSV file each; refuses a folder that is there."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        ordered = df.orderBy("google_id") if name == "listing_predictions" and "google_id" in df.columns else df
+        ordered.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    for name, df in (csv or {}).items():  # a row a model, or a row a grid cell and action
+        df.coalesce(1).write.mode("errorifexists").option("header", True).csv(f"{folder}/{name}_csv")
     artifacts.write_text(spark, f"{folder}/metrics.json", artifacts.canonical_json(report))
 
 
@@ -150,7 +154,7 @@ def develop(catalog: DataFrame, listings: DataFrame, gold: DataFrame, config: Co
     own_ids = validation.select(F.col("product_id").alias("google_id")).join(ambiguous, "google_id", "left_anti")
     models, table = {}, []
     for name, columns in VARIANTS.items():
-        models[name] = matcher.fit(rows, columns, config.calibration_folds, config.model_seed)
+        models[name] = matcher.fit(rows, columns, config.calibration_folds, config.model_seed, steps=config.logreg_max_iter)
         scored = matcher.predict(clear, models[name])
         labelled = fusion.with_label(scored, own_gold).withColumn("score", F.col("probability"))
         one = _one(ranking.ranking_metrics(scored, own_gold, listings=own_ids))
@@ -159,10 +163,12 @@ def develop(catalog: DataFrame, listings: DataFrame, gold: DataFrame, config: Co
     pairs = matcher.predict(pair_features(candidates, validation, catalog), models[best])
     thresholds, diagnostics = _select_policy(pairs, gold, assignments, config)
     report, decisions, found = evaluate(candidates, pool, validation, catalog, gold, assignments.select("google_id", "duplicate_group_id"), models[best], thresholds, config, seconds)
-    report |= {"models": table, "selected_model": best, "policy": thresholds}
+    evidence = [r.asDict(recursive=True) for r in policy.selected_evidence(diagnostics, thresholds).collect()]  # two rows
+    learned = splits.training_summary(assignments, gold, fusion.with_label(fitted.select("google_id", "amazon_id"), gold).join(ambiguous, "google_id", "left_anti"))
+    report |= {"models": table, "selected_model": best, "policy": thresholds | {"evidence": evidence}, "splits": [r.asDict() for r in learned.collect()]}
     tables = {"catalog": catalog, "vocabulary": vocabulary, "catalog_vectors": vectors, "assignments": assignments}
-    artifacts.freeze(f"{folder}/artifacts", tables, models[best], best, thresholds, config, {"raw_csv_sha256": raw_digests})
-    write_report(f"{folder}/report", report, {"listing_predictions": decisions, "error_examples": found, "threshold_diagnostics": diagnostics, "pr_curve": metrics.pr_curve(fusion.with_label(pairs, gold).withColumn("score", F.col("probability")))})
+    artifacts.freeze(f"{folder}/artifacts", tables, models[best], best, thresholds | {"evidence": evidence}, config, {"raw_csv_sha256": raw_digests, "encoder": identity(encoder)})
+    write_report(f"{folder}/report", report, {"listing_predictions": decisions, "error_examples": found, "threshold_diagnostics": diagnostics, "pr_curve": metrics.pr_curve(fusion.with_label(pairs, gold).withColumn("score", F.col("probability")))}, {"model_comparison": catalog.sparkSession.createDataFrame([{k: float(v) if isinstance(v, (int, float)) else v for k, v in r.items()} for r in table]), "threshold_diagnostics": diagnostics})
     return report
 
 
@@ -170,7 +176,7 @@ def corrected_evaluation(listings: DataFrame, gold: DataFrame, config: Config, f
     """Scores the test split from a frozen run, without fitting anything, into a new folder."""
     spark = listings.sparkSession
     tables, model, run = artifacts.load(spark, f"{folder}/artifacts")
-    artifacts.preflight(tables, model, run, config, VARIANTS[run["model"]], raw_digests)
+    artifacts.preflight(tables, model, run, config, VARIANTS[run["model"]], raw_digests, identity(encoder))
     again = splits.entity_splits(listings, gold, config.split_seed, config.split_ratios)
     if not splits.same_rows(splits.canonical(again), splits.canonical(tables["assignments"])):
         raise ValueError("the splits of these listings differ from the frozen ones")

@@ -1,5 +1,6 @@
 """Operators on small tables with known results."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -190,6 +191,43 @@ def test_groups_drive_thresholds(spark):
     assert policy.select_thresholds(made).first().asDict() == {"no_match_threshold": 0.02, "match_threshold": None}
 
 
+def test_manual_review_has_no_correctness(spark):
+    rows = [("auto_match", True, True, "g1"), ("auto_match", False, True, "g1"), ("manual_review", True, True, "g2"), ("manual_review", False, False, "g1"), ("auto_match", True, True, "g3")]
+    got = {r.action: r for r in policy.action_statistics(spark.createDataFrame(rows, "action string, is_gold_pair boolean, has_gold_listing boolean, duplicate_group_id string")).collect()}
+    m, n, r = (got[a] for a in policy.ACTIONS)
+    assert (m.listing_support, m.listing_correct_count, m.listing_error_count, m.listing_coverage) == (3, 2, 1, 0.6)
+    assert (m.group_support, m.group_correct_count, m.group_empirical_precision) == (2, 1, 0.5)  # g1 has a wrong member
+    assert (n.listing_support, n.listing_correct_count, n.listing_empirical_precision, n.group_support, n.group_coverage) == (0, 0, None, 0, 0.0)
+    assert (r.listing_support, r.listing_coverage, r.group_support, r.group_coverage) == (2, 0.4, 2, 2 / 3)
+    judged = [c for c in r.asDict() if "count" in c or "precision" in c]
+    assert len(judged) == 10 and all(r[c] is None for c in judged)
+
+
+def test_listings_without_candidates_are_misses(spark):
+    found = spark.createDataFrame([("g1", "a1", 0.9), ("g3", "a9", 0.8)], "google_id string, amazon_id string, probability double")
+    gold, ids = pairs(spark, [("g1", "a1"), ("g2", "a2"), ("g3", "a3")]), spark.createDataFrame([("g1",), ("g2",)], "google_id string")
+    r = ranking.ranking_metrics(found, gold, listings=ids).first()
+    assert (r.gold_listings, r.retrieved_listings, r.hits, r.overall_hit_at_1, r.conditional_hit_at_1, r.mrr, r.retrieval_misses) == (2, 1, 1, 0.5, 1.0, 0.5, 1)
+    b = {r.baseline: r for r in ranking.score_baselines(found.withColumn("other", F.lit(None).cast("double")), gold, ("probability", "other"), ids).collect()}
+    assert b["probability"].overall_hit_at_1 == b["other"].mrr == 0.5 and b["other"].conditional_hit_at_1 == 1.0
+    with pytest.raises(Exception, match="no duplicate group"):
+        ranking.listing_predictions(found, gold, spark.createDataFrame([("g1", "d1")], "google_id string, duplicate_group_id string"), 0.1, 0.9).collect()
+
+
+def test_listings_need_a_split(spark):
+    made = splits.entity_splits(listings(spark, 6), pairs(spark, []))
+    assert sum(splits.pick(listings(spark, 6), made, s).count() for s in splits.SPLITS) == 6
+    with pytest.raises(Exception, match="no split for listing g5"):
+        splits.pick(listings(spark, 6), made.filter("google_id <> 'g5'"), "test").collect()
+
+
+def test_digest_is_that_of_the_sorted_csv(spark):
+    rows = [("b", "component_00000", "Train ", "d,1", 2.0, "1"), ("a", "component_00000", "train", 'd"2', 1.0, "false"), ("é", "component_00001", "test", "d3", 1.0, "True")]
+    made = spark.createDataFrame(rows, "google_id string, component_id string, split string, duplicate_group_id string, duplicate_group_size double, ambiguous_label string").repartition(3)
+    text = 'google_id,component_id,split,duplicate_group_id,duplicate_group_size,ambiguous_label\na,component_00000,train,"d""2",1,False\nb,component_00000,train,"d,1",2,True\né,component_00001,test,d3,1,True\n'
+    assert splits.digest(made).first() == (3, hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_an_action_needs_support(spark):
     schema = "score double, group_id string, correct_match boolean, correct_no_match boolean"
     for n in (1, 20):

@@ -1,8 +1,10 @@
 """Both runs end to end, frozen artifacts, raw files, the stream scorer and the registered queries."""
 
+import json
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from matchlode.operators.features import VARIANTS
 from matchlode.plans import artifacts, pipeline, queries
 from matchlode.sources import config as settings
 from matchlode.sources import raw
+from matchlode.sources.encoder import SentenceEncoder, identity
 from matchlode.streaming.scorer import score_stream
 
 
@@ -137,3 +140,41 @@ def test_every_query_has_stable_columns(spark, sf_dir, name):
 
 def test_oracles_belong_to_queries():
     assert not set(queries.ORACLES) - set(queries.QUERIES)
+
+
+class Letters:
+    """A sentence model of vowel counts."""
+
+    def encode(self, texts, batch_size, **options):
+        assert len(texts) <= batch_size and options["normalize_embeddings"]
+        return np.array([[t.count(v) + 1.0 for v in "aeiou"] for t in texts])
+
+
+def test_encoders_load_once_and_work_in_batches(spark):
+    own = SentenceEncoder("letters", "r1", batch_size=3, load=lambda e: Letters())
+    texts = spark.createDataFrame([(f"k{i}", "aei" * i) for i in range(10)] + [("none", None)], "key string, text string").repartition(2)
+    got = {r.key: list(r.embedding) for r in own(texts).collect()}
+    assert got["k2"] == [3, 3, 3, 1, 1] and got["none"] == [1] * 5 and len(got) == 11
+    assert identity(own) == {"model": "letters", "revision": "r1"} and identity(pipeline.hashing_encoder)["model"].endswith("hashing_encoder")
+    for bad in ({"model": "", "revision": "r"}, {"model": "m", "revision": " "}, {"model": "m", "revision": "r", "batch_size": 0}):
+        with pytest.raises(ValueError):
+            SentenceEncoder(**bad)
+
+
+def test_assignments_as_csv_keep_ids_as_text(spark, tmp_path):
+    rows = [("007", "component_00000", "train", "1e5", 1, True), ("1.0", "component_00001", "test", 'd,"x', 2, False)]
+    made = spark.createDataFrame(rows, "google_id string, component_id string, split string, duplicate_group_id string, duplicate_group_size long, ambiguous_label boolean")
+    artifacts.write_assignments(made, f"file://{tmp_path}/a")
+    assert sorted(map(tuple, artifacts.read_assignments(spark, f"file://{tmp_path}/a").collect())) == rows
+    with pytest.raises(Exception, match="(?i)exists"):
+        artifacts.write_assignments(made, f"file://{tmp_path}/a")
+
+
+def test_json_of_other_numbers():
+    got = json.loads(artifacts.canonical_json({"a": np.int64(3), "b": np.float32(0.5), "c": np.array([1, 2]), "d": float("inf"), "e": {2, 1}, "f": np.nan, "g": np.bool_(True)}))
+    assert got == {"a": 3, "b": 0.5, "c": [1, 2], "d": None, "e": [1, 2], "f": None, "g": True}
+
+
+def test_unknown_settings_are_refused():
+    with pytest.raises(ValueError, match="nonsense"):
+        settings.from_mapping({"nonsense": 1})
