@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from .scan import mix
 
@@ -18,9 +18,14 @@ from .scan import mix
 BUCKETS = 1024
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Several buckets a shuffle partition, so that partitions are even and grow in number with the cluster's setting."""
-    return max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(parts: int) -> int:
+    """Several buckets a shuffle partition, so that partitions are even."""
+    return max(BUCKETS, 4 * parts)
+
+
+def part_count(df: DataFrame) -> int:
+    """Shuffle partitions that grow with the parts of df's input, so that tasks stay as small on more data."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:

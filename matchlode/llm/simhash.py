@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .packed import bucket_count, bucket_of, by_bucket, dealt, pack, runs, schema, unpack
+from .packed import bucket_count, bucket_of, by_bucket, dealt, pack, part_count, runs, schema, unpack
 from .scan import pieces
 from .shared import cut
 
@@ -182,12 +182,13 @@ def _wide_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_components(nodes: DataFrame) -> DataFrame:
     """fp, comp (a fingerprint of the component) for distinct fingerprints fp, linked at 3 bits or fewer."""
-    buckets = bucket_count(nodes.sparkSession)
-    one = connected_components(dealt(nodes.mapInArrow(partial(_balls, buckets=buckets), schema(2))).mapInArrow(_stars, "a long, b long"))
+    parts = part_count(nodes)
+    buckets = bucket_count(parts)
+    one = connected_components(dealt(nodes.mapInArrow(partial(_balls, buckets=buckets), schema(2)), parts).mapInArrow(_stars, "a long, b long"))
     first = cut(nodes.join(one, nodes.fp == one.node, "left").select("fp", F.coalesce("component", "fp").alias("comp")), "near2")
-    mixed = dealt(first.mapInArrow(partial(_halves, buckets=buckets), schema(2))).mapInArrow(_mixed, "comp long").distinct()
+    mixed = dealt(first.mapInArrow(partial(_halves, buckets=buckets), schema(2)), parts).mapInArrow(_mixed, "comp long").distinct()
     open_ = first.join(mixed, "comp", "left_semi").select("fp", "comp")
-    links = dealt(open_.select("fp").mapInArrow(partial(_wide_balls, buckets=buckets), schema(2))).mapInArrow(_wide_stars, "a long, b long")
+    links = dealt(open_.select("fp").mapInArrow(partial(_wide_balls, buckets=buckets), schema(2)), parts).mapInArrow(_wide_stars, "a long, b long")
     for side in ("a", "b"):  # links of fingerprints are links of their components
         links = links.join(first.select(F.col("fp").alias(side), F.col("comp").alias(f"comp_{side}")), side)
     two = connected_components(links.filter("comp_a <> comp_b"), "comp_a", "comp_b")

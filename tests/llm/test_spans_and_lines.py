@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from matchlode.llm.line_dedup import DIVISOR, chunks, remove_repeated_lines
-from matchlode.llm.substring_dedup import _sources, remove_repeated_spans
+from matchlode.llm.substring_dedup import _glued, _sources, remove_repeated_spans, unitigs
 from tests.llm.test_models import thue_morse
 
 
@@ -73,6 +73,17 @@ def test_edges_of_equal_first_lanes_are_told_apart():
     assert [x.tolist() for x in _sources(edge, edge2, doc, at)] == [[4, 3, 3, 4], [0, 10, 10, 0]]
 
 
+def test_fragments_compact_where_nodes_do_not_branch(spark):
+    rows = [(1, 0, 5, 10, 11), (1, 5, 3, 11, 12), (1, 8, 2, 12, 13), (2, 0, 4, 20, 12), (1, 20, 2, 13, 14), (3, 7, 1, 30, 31), (4, 8, 1, 31, 32)]
+    made = spark.createDataFrame(rows, "sdoc long, sat long, n long, left long, right long")
+    heads = unitigs(made)
+    # two fragments lead to node 12; 13 and 31 are between fragments that do not follow each other in a source
+    assert sorted(map(tuple, heads.collect())) == [(1, 0, 0), (1, 5, 0), (1, 8, 8), (1, 20, 20), (2, 0, 0), (3, 7, 7), (4, 8, 8)]
+    paths = [(9, 100, 5, 1, 0, 0), (9, 105, 3, 1, 5, 5), (9, 108, 2, 1, 8, 8), (9, 200, 2, 1, 6, 5), (9, 300, 2, 7, 3, 3), (8, 105, 3, 1, 5, 5)]
+    glued = _glued(spark.createDataFrame(paths, "doc_id long, at long, n long, sdoc long, sat long, frag long"), heads)
+    assert sorted(map(tuple, glued.collect())) == [(8, 105, 3, 1, 5), (9, 100, 8, 1, 0), (9, 108, 2, 1, 8), (9, 200, 2, 1, 6), (9, 300, 2, 7, 3)]
+
+
 def test_spans_of_an_id_with_two_texts(frame):
     a, b = (" ".join(f"{c}{i}" for i in range(15)) for c in "ab")
     rows = [(1, a), (1, b), (2, b + " " + a), (2, a)]
