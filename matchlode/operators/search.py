@@ -17,7 +17,7 @@ from ..storage import cut
 #: A vocabulary of more bytes is not sent to the tasks.
 BLOCK_BYTES = 64 << 20
 #: Bytes of a block of vectors.
-BLOCK = 2 << 20
+BLOCK = 8 << 20
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
@@ -203,12 +203,13 @@ def _packed(rows: DataFrame, columns: list[str], side: str, block: int) -> DataF
 def _block_top_k(queries: DataFrame, catalog: DataFrame, columns: list[str], scorer: Callable, k: int, digits: int, block: int) -> DataFrame:
     """query key, key, ordinal, score: each task's k best of each of its queries. Sides: key, ordinal, binary columns.
 
-    Rows are packed into blocks first; the product of blocks is Spark's (a side goes to all tasks only
-    if its size is below spark.sql.autoBroadcastJoinThreshold), and a task scores a block of queries
-    with a block of the catalog at a time and keeps a running top k.
+    Rows are packed into blocks first and written, so that Spark knows their sizes: the product of
+    blocks is its own, and a side goes to all tasks only if it is below
+    spark.sql.autoBroadcastJoinThreshold. A task scores a block of queries with a block of the catalog
+    at a time and keeps a running top k.
     """
     kinds = [side.schema["key"].dataType.simpleString() for side in (queries, catalog)]
-    pairs = _packed(queries, columns, "q", block).crossJoin(_packed(catalog, columns, "c", block))
+    pairs = cut(_packed(queries, columns, "q", block), "queries").crossJoin(cut(_packed(catalog, columns, "c", block), "blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
