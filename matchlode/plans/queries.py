@@ -551,10 +551,14 @@ def logistic_scores(spark, sf):
 
 @query
 def model_selection(spark, sf):
-    rows = _training(spark, sf)
+    """Models that rank each eight neighbouring documents, of which those of quality are gold."""
+    rows = cut(_training(spark, sf).withColumn("google_id", F.concat(F.lit("q"), F.floor(F.col("doc_id") / 8))).withColumn("amazon_id", F.col("doc_id").cast("string")), "training")
+    gold = rows.filter("label = 1").select("google_id", "amazon_id")
     out = []
     for name, own in (("lengths", FEATURES[:2]), ("language", FEATURES[3:]), ("all", FEATURES)):
-        scores = matcher.predict(rows, matcher.fit(rows, own), "score").select("score", "label")
-        out.append((name, float(metrics.average_precision(scores).first()[0]), float(metrics.roc_auc(scores).first()[0]), len(own)))
-    best = matcher.select_model([{"model": n, "overall_hit_at_1": a, "mrr": r, "feature_count": k} for n, a, r, k in out])
-    return rounded(spark.createDataFrame([(*o, o[0] == best) for o in out], "model string, pr_auc double, roc_auc double, feature_count int, selected boolean"))
+        scores = cut(matcher.predict(rows, matcher.fit(rows, own), "score").select("google_id", "amazon_id", "score", "label"), "scores")
+        ranks = ranking.ranking_metrics(scores, gold, "score").first()
+        out.append({"model": name, "overall_hit_at_1": ranks.overall_hit_at_1, "mrr": ranks.mrr, "pr_auc": metrics.average_precision(scores).first()[0], "roc_auc": metrics.roc_auc(scores).first()[0], "feature_count": len(own)})
+    best = matcher.select_model(out)
+    schema = "model string, overall_hit_at_1 double, mrr double, pr_auc double, roc_auc double, feature_count int, selected boolean"
+    return rounded(spark.createDataFrame([(*o.values(), o["model"] == best) for o in out], schema))
