@@ -38,7 +38,7 @@ from .elias_fano import EliasFano, Shelf, remove_folder, write_arrays
 from .language_id import held_out
 from .packed import by_bucket, dealt, pack, runs, schema, unpack
 from .scan import Block, blocks
-from .shared import new_folder
+from .shared import freeing, new_folder
 
 #: Words that a task holds before it sends them.
 HELD = 1 << 20
@@ -480,7 +480,8 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = LEAST, cell_to
     learned = rows.filter("key IS NOT NULL AND NOT held_out").select("text")
     folder, parts = new_folder(spark, "trie"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = max(parts, 4 * rows.rdd.getNumPartitions())  # grows with the input's parts
-    sizes = dealt(learned.mapInArrow(_count_words(shards), schema(3)), shards).mapInArrow(_write_words(folder, shards), "shard int, words long, tokens long").collect()  # a row a shard
+    with freeing(spark):
+        sizes = dealt(learned.mapInArrow(_count_words(shards), schema(3)), shards).mapInArrow(_write_words(folder, shards), "shard int, words long, tokens long").collect()  # a row a shard
     per = {r.shard: r.words for r in sizes}
     bases = np.cumsum([0, *(per.get(s, 0) for s in range(shards))]).tolist()
     tokens = sum(r.tokens for r in sizes)
@@ -489,7 +490,8 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = LEAST, cell_to
         trie = Trie(*key)
         cells = trie.ranges * trie.slices
         written = dealt(learned.mapInArrow(_count_grams(key, order), schema(3)), max(parts, cells)).mapInArrow(_write_grams(key, least), "cell long, one2 long, two2 long, one3 long, two3 long")
-        seen = written.agg(*(F.sum(c).alias(c) for c in ("one2", "two2", "one3", "two3"))).first()
+        with freeing(spark):
+            seen = written.agg(*(F.sum(c).alias(c) for c in ("one2", "two2", "one3", "two3"))).collect()[0]
         work = spark.range(-shards, cells, 1, min(shards + cells, 4 * parts))
         work.mapInArrow(_smooth(key, discount(seen.one2, seen.two2), discount(seen.one3, seen.two3)), "id long").count()
         remove_folder(f"{folder}/counts")

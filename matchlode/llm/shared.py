@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import cut, new_folder, shared_dir, spread
+from ..storage import cut, freeing, new_folder, shared_dir, spread
 
-__all__ = ["cut", "documents", "new_folder", "shared_dir"]
+__all__ = ["cut", "documents", "freeing", "new_folder", "shared_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

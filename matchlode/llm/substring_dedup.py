@@ -1,7 +1,7 @@
 """Removal of repeated token spans through a compacted De Bruijn graph.
 
 Every run of `width` words is an edge between two nodes, its first and last width - 1 words. Edges
-have 128-bit identities and are dealt out by their minimiser (the least hash of `seed` words in
+have 96-bit identities (of two independent lanes) and are dealt out by their minimiser (the least hash of `seed` words in
 them), so neighbouring edges of a document meet in one task; only minimisers that two documents hold
 are followed. An edge's source is its occurrence in the smallest doc_id. Edges of a bucket that follow
 each other in their source are a fragment; Spark joins then count how many fragments lead into and
@@ -135,7 +135,7 @@ def _edges(width: int, seed: int, buckets: int):
         parts = _paths(doc[found], at[found], sdoc[found], sat[found], sat[found])[:5]
         yield from pack(1, bucket_of(parts[0], buckets), parts, 5)
         left = ~found
-        yield from pack(0, bucket_of(h[left], buckets), [edge[left], edge2[left], doc[left], at[left]], 5)
+        yield from pack(0, bucket_of(h[left], buckets), [edge[left], (edge2[left] >> U8(32)).astype(np.uint32), doc[left], at[left]], 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -171,7 +171,7 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paths of documents, each with its fragment's start, and fragments of the graph (doc_id null)."""
     names = ["doc_id", "at", "n", "sdoc", "sat", "frag"]
     for _, rows in by_bucket(batches, 5):
-        edge, edge2, doc, at = unpack(rows.get(0, []), [U8, U8, I8, I8])
+        edge, edge2, doc, at = unpack(rows.get(0, []), [U8, np.uint32, I8, I8])
         sdoc, sat = _sources(edge, edge2, doc, at) if len(edge) else (doc, at)
         found = sdoc < doc
         frag, (owner, start, size) = _fragments(sdoc[found], sat[found])
