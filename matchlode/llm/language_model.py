@@ -27,11 +27,12 @@ words are unknown. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, Shelf, remove_folder, write_arrays
@@ -44,6 +45,8 @@ from .shared import freeing, new_folder
 HELD = 1 << 20
 #: Bytes of text that are counted or scored together.
 AT_ONCE = 8 << 20
+#: Bytes that Spark hands to a worker at once while the trie is built; the JVM and the worker hold copies.
+BATCH_BYTES = 16 << 20
 #: Tokens of a cell, on average.
 CELL_TOKENS = 1 << 21
 #: The fewest occurrences of a stored sequence of three words.
@@ -236,6 +239,50 @@ def _before(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return last, np.flatnonzero(inner)
 
 
+def _identified(trie: Trie, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and counts of a block's distinct words, the place among them of each token, and each row's first token."""
+    a, b, first = stream(block)
+    a, b, own = vocabulary(a, b)
+    return *trie.find(a, b), own, first
+
+
+def _sent(trie: Trie, kind: int, u: np.ndarray, v: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return pack(kind, trie.cell(u, v), [u * trie.size + v, *(x.astype(np.uint32) for x in more)], 3)
+
+
+def _grams_of(trie: Trie, block: Block, order: int) -> Iterator[pa.RecordBatch]:
+    """What is worked on is let go as soon as it is used, and no block's arrays outlive it: executors have little room beside the JVM."""
+    ids, _, own, first = _identified(trie, block)
+    many = len(ids)
+    pair, inner = _before(own, first)
+    pair *= many
+    pair += own
+    found = np.sort(pair)
+    at = runs(found)
+    n, found = np.diff(np.r_[at, len(found)]), found[at]
+    if order > 2:
+        three = pair[inner - 1]
+        last = own[inner]
+    del pair, own, inner, at
+    yield from _sent(trie, 0, ids[found // many], ids[found % many], n)
+    if order < 3:
+        return
+    if many**3 > 1 << 63:  # ranks are shorter than pairs
+        three = np.searchsorted(found, three)
+    else:
+        del found
+    three *= many
+    three += last
+    del last
+    three.sort()
+    at = runs(three)
+    n, three = np.diff(np.r_[at, len(three)]), three[at]
+    w, three = ids[three % many], three // many
+    if many**3 > 1 << 63:
+        three = found[three]
+    yield from _sent(trie, 1, ids[three // many], ids[three % many], w, n)
+
+
 def _count_grams(key: tuple, order: int):
     """Pairs (kind 0) and, for order 3, sequences of three words (kind 1) of each block, by cell."""
 
@@ -243,27 +290,7 @@ def _count_grams(key: tuple, order: int):
         trie = _trie(*key)
         for batch in batches:
             for block in blocks(batch.column("text"), AT_ONCE):
-                a, b, first = stream(block)
-                a, b, own = vocabulary(a, b)
-                ids, many = trie.find(a, b)[0], len(a)
-                last, inner = _before(own, first)
-                pair = last * many + own
-                found = np.sort(pair)
-                at = runs(found)
-                u, v = ids[found[at] // many], ids[found[at] % many]
-                yield from pack(0, trie.cell(u, v), [u * trie.size + v, np.diff(np.r_[at, len(found)]).astype(np.uint32)], 3)
-                if order < 3:
-                    continue
-                context = pair[inner - 1]
-                if many**3 > 1 << 63:  # ranks are shorter than pairs
-                    context = np.searchsorted(found[at], context)
-                three = np.sort(context * many + own[inner])
-                w, context = ids[three % many], three // many
-                if many**3 > 1 << 63:
-                    context = found[at][context]
-                here = runs(three)
-                u, v, w = ids[context[here] // many], ids[context[here] % many], w[here]
-                yield from pack(1, trie.cell(u, v), [u * trie.size + v, w.astype(np.uint32), np.diff(np.r_[here, len(three)]).astype(np.uint32)], 3)
+                yield from _grams_of(trie, block, order)
 
     return run
 
@@ -272,34 +299,42 @@ def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     at = runs(keys)
-    return keys[at], np.add.reduceat(n, at) if len(at) else n
+    return keys[at], np.add.reduceat(n, at, dtype=I8) if len(at) else n.astype(I8)
+
+
+def _write_cell(trie: Trie, cell: int, rows: dict[int, list[tuple]], least: int) -> list[int]:
+    """Writes a cell and returns how many pairs and threes occur once and twice; rows are used up, other arrays go with it."""
+    size = trie.size
+    begin, stop = trie.range(cell // trie.slices)
+    two, n2 = _totals(*unpack([r[:2] for r in rows.pop(0)], [I8, np.uint32]))
+    sent = rows.pop(1, [])
+    three, n3, at = np.empty(sum(len(n) for _, _, n in sent) // 4, I8), [], 0
+    while sent:
+        context, w, n = unpack([sent.pop()], [I8, np.uint32, np.uint32])
+        three[at : at + len(n)] = np.searchsorted(two, context) * size + w
+        n3.append(n)
+        at += len(n)
+    three, n3 = _totals(three, np.concatenate([np.zeros(0, np.uint32), *n3]))
+    seen = [int((n == k).sum()) for n in (n2, n3) for k in (1, 2)]
+    three, n3 = three[n3 >= least], n3[n3 >= least]
+    two -= begin * size
+    pointers = np.cumsum(np.r_[0, np.bincount(two // size, minlength=stop - begin)])
+    context = three // size
+    at = runs(context)
+    parts = EliasFano.build(pointers, len(two) + 1, "pointer2") | EliasFano.build(two, (stop - begin) * size + 1, "successor2")
+    parts |= EliasFano.build(context[at], len(two) + 1, "context3") | EliasFano.build(np.r_[at, len(three)], len(three) + 1, "pointer3")
+    rank = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(three)]))
+    parts |= EliasFano.build(rank * size + three % size, len(at) * size + 1, "successor3")
+    write_arrays(trie.folder, f"grams-{cell}", parts)
+    write_arrays(f"{trie.folder}/counts", str(cell), {"n2": narrow(n2), "n3": narrow(n3)})
+    return seen
 
 
 def _write_grams(key: tuple, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(*key)
-        size = trie.size
         for cell, rows in by_bucket(batches, 3):
-            begin, stop = trie.range(cell // trie.slices)
-            two, n2 = _totals(*(x.astype(I8) for x in unpack([r[:2] for r in rows[0]], [I8, np.uint32])))
-            three, n3 = [], []
-            for row in rows.get(1, []):
-                context, w, n = unpack([row], [I8, np.uint32, np.uint32])
-                three.append(np.searchsorted(two, context) * size + w.astype(I8))
-                n3.append(n.astype(I8))
-            three, n3 = _totals(np.concatenate(three), np.concatenate(n3)) if three else (np.zeros(0, I8), np.zeros(0, I8))
-            seen = [int((n == k).sum()) for n in (n2, n3) for k in (1, 2)]
-            three, n3 = three[n3 >= least], n3[n3 >= least]
-            two -= begin * size
-            pointers = np.cumsum(np.r_[0, np.bincount(two // size, minlength=stop - begin)])
-            context = three // size
-            at = runs(context)
-            parts = EliasFano.build(pointers, len(two) + 1, "pointer2") | EliasFano.build(two, (stop - begin) * size + 1, "successor2")
-            parts |= EliasFano.build(context[at], len(two) + 1, "context3") | EliasFano.build(np.r_[at, len(three)], len(three) + 1, "pointer3")
-            rank = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(three)]))
-            parts |= EliasFano.build(rank * size + three % size, len(at) * size + 1, "successor3")
-            write_arrays(trie.folder, f"grams-{cell}", parts)
-            write_arrays(f"{trie.folder}/counts", str(cell), {"n2": narrow(n2), "n3": narrow(n3)})
+            seen = _write_cell(trie, cell, rows, least)
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (cell, *seen)], names=["cell", "one2", "two2", "one3", "two3"])
 
     return run
@@ -422,51 +457,73 @@ class Scorer:
         p = back[last] * one[own]
         asked = np.flatnonzero((ids[own] >= 0) & (ids[last] >= 0))
         key, where = sorted_keys(last[asked] * many + own[asked], many * many)
+        del last
         at = runs(key)
         pair = np.full(total, -1, I8)
         pair[asked[where]] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(key)]))
-        cell, place, direct = self.level2(ids[key[at] // many], ids[key[at] % many])
+        key = key[at]
+        del where, at
+        cell, place, direct = self.level2(ids[key // many], ids[key % many])
         p[asked] += direct[pair[asked]]
+        del key, asked, direct
         if self.order > 2:
             rank = np.empty(len(cell), I8)
             rank[np.lexsort((place, cell))] = np.arange(len(cell))
             asked = inner[pair[inner - 1] >= 0]
             asked = asked[place[pair[asked - 1]] >= 0]
-            _, where = sorted_keys(rank[pair[asked - 1]] * many + own[asked], len(cell) * many)
-            asked = asked[where]
+            asked = asked[sorted_keys(rank[pair[asked - 1]] * many + own[asked], len(cell) * many)[1]]
             context = pair[asked - 1]
+            del inner, pair, rank
             direct, back = self.level3(cell[context], place[context], ids[own[asked]])
             p[asked] = direct + back * p[asked]
         return p
 
 
+def _scored(trie: Trie | None, key: tuple, order: int, block: Block) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of a block's rows; its arrays go with it."""
+    size, tokens = key[1][-1], key[2]
+    if trie:
+        ids, count, own, first = _identified(trie, block)
+    else:  # all tokens are unknown
+        first = stream(block)[2]
+        count, own = np.zeros(1, I8), np.zeros(first[-1], I8)
+    rows = first[:-1]
+    known = np.add.reduceat((count > 0).astype(I8)[own], rows)
+    base = np.log10((count + ADDED) / (tokens + ADDED * (size + 1)))[own]
+    sums = np.add.reduceat(base, rows)
+    if not trie:
+        return [np.diff(first), known, sums, sums]
+    del base, count
+    p = Scorer(trie, order).probabilities(ids, own, first)
+    return [np.diff(first), known, sums, np.add.reduceat(np.log10(p, out=p), rows)]
+
+
 def _score(key: tuple, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(*key) if key[1][-1] else None
-        size, tokens = key[1][-1], key[2]
         for batch in batches:
             for block in blocks(batch.column("text"), AT_ONCE):
-                a, b, first = stream(block)
-                a, b, own = vocabulary(a, b)
-                ids, count = trie.find(a, b) if trie else (np.full(len(a), -1, I8), np.zeros(len(a), I8))
-                base = np.log10((count + ADDED) / (tokens + ADDED * (size + 1)))[own]
-                p = np.log10(Scorer(trie, order).probabilities(ids, own, first)) if trie else base
-                rows = first[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key").slice(block.lo, block.hi - block.lo),
-                        batch.column("held_out").slice(block.lo, block.hi - block.lo),
-                        pa.array(np.diff(first)),
-                        pa.array(np.add.reduceat((count > 0).astype(I8)[own], rows)),
-                        pa.array(np.add.reduceat(base, rows)),
-                        pa.array(np.add.reduceat(p, rows)),
-                    ],
-                    names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
+                same = [batch.column(c).slice(block.lo, block.hi - block.lo) for c in ("key", "held_out")]
+                yield pa.RecordBatch.from_arrays([*same, *map(pa.array, _scored(trie, key, order, block))], names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def _building(spark: SparkSession) -> Iterator[None]:
+    """For the actions that write the trie: batches of bounded bytes, and shuffle files that go at once."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        with freeing(spark):
+            yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 def score_documents(docs: DataFrame, order: int = 3, least: int = LEAST, cell_tokens: int = CELL_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
@@ -480,7 +537,7 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = LEAST, cell_to
     learned = rows.filter("key IS NOT NULL AND NOT held_out").select("text")
     folder, parts = new_folder(spark, "trie"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = max(parts, 4 * rows.rdd.getNumPartitions())  # grows with the input's parts
-    with freeing(spark):
+    with _building(spark):
         sizes = dealt(learned.mapInArrow(_count_words(shards), schema(3)), shards).mapInArrow(_write_words(folder, shards), "shard int, words long, tokens long").collect()  # a row a shard
     per = {r.shard: r.words for r in sizes}
     bases = np.cumsum([0, *(per.get(s, 0) for s in range(shards))]).tolist()
@@ -490,7 +547,7 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = LEAST, cell_to
         trie = Trie(*key)
         cells = trie.ranges * trie.slices
         written = dealt(learned.mapInArrow(_count_grams(key, order), schema(3)), max(parts, cells)).mapInArrow(_write_grams(key, least), "cell long, one2 long, two2 long, one3 long, two3 long")
-        with freeing(spark):
+        with _building(spark):
             seen = written.agg(*(F.sum(c).alias(c) for c in ("one2", "two2", "one3", "two3"))).collect()[0]
         work = spark.range(-shards, cells, 1, min(shards + cells, 4 * parts))
         work.mapInArrow(_smooth(key, discount(seen.one2, seen.two2), discount(seen.one3, seen.two3)), "id long").count()
