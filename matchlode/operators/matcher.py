@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,24 +48,35 @@ def group_folds(rows: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     rows; those without positives to the fold with fewest rows. The order is sequential by definition; the driver sees one row a group.
     """
     groups = rows.groupBy("group_id").agg(F.sum(F.col("label").cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    pdf = groups.orderBy(F.desc("p"), F.desc("n"), F.sha2(F.concat(F.lit(str(seed)), F.col("group_id").cast("string")), 256)).toPandas()
-    if not 0 < pdf.p.sum() < pdf.n.sum():
+    own = groups.orderBy(F.desc("p"), F.desc("n"), F.sha2(F.concat(F.lit(str(seed)), F.col("group_id").cast("string")), 256)).toArrow()
+    p, n = (own.column(c).to_numpy() for c in "pn")
+    if not 0 < p.sum() < n.sum():
         raise ValueError("labels must hold both classes")
-    p, n = pdf.p.to_numpy(), pdf.n.to_numpy()
     for k in range(folds, 1, -1):
-        have, place = np.zeros((k, 2), np.int64), np.empty(len(pdf), np.int64)
-        for i in range(len(pdf)):
-            place[i] = np.lexsort((have[:, 1], have[:, 0]) if p[i] else (have[:, 1],))[0]
-            have[place[i]] += (p[i], n[i])
+        have, place = deal(p, n, k)
         both = (have[:, 0] > 0) & (have[:, 0] < have[:, 1])
         rest = have.sum(0) - have
         if both.all() and ((rest[:, 0] > 0) & (rest[:, 0] < rest[:, 1])).all():
-            pdf["fold"] = place
             kind = groups.schema["group_id"].dataType.simpleString()
-            return rows.sparkSession.createDataFrame(pdf[["group_id", "fold"]], f"group_id {kind}, fold long")
+            return rows.sparkSession.createDataFrame(pa.table({"group_id": own.column("group_id"), "fold": place}), f"group_id {kind}, fold long")
     raise ValueError("fewer than two folds have both classes")
 
 
+def deal(p: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positives and rows of each of k folds, and the fold of each group, in the groups' order (p, n: their positives and rows).
+
+    Groups of one kind add the same each time, so the folds' turns are the merged order of what they would hold.
+    """
+    have, place = np.zeros((k, 2), np.int64), np.empty(len(p), np.int64)
+    edges = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (n[1:] != n[:-1]), True]) if len(p) else np.zeros(1, np.int64)
+    for lo, hi in zip(edges, edges[1:]):
+        turn, fold = (x.ravel() for x in np.indices((hi - lo, k)))
+        after = have[fold, 1] + turn * n[lo]
+        place[lo:hi] = fold[np.lexsort((fold, after, have[fold, 0] + turn * p[lo]) if p[lo] else (fold, after))[: hi - lo]]
+        have += np.bincount(place[lo:hi], minlength=k)[:, None] * np.array([p[lo], n[lo]])
+    return have, place
+
+
 def check_finite(rows: DataFrame, features: Sequence[str]) -> None:
     bad = [F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in features]
     if not rows.filter(F.greatest(*(b.cast("int") for b in bad), F.lit(0)) == 1).isEmpty():

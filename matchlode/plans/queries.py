@@ -534,10 +534,11 @@ def _training(spark, sf):
     y, d = tables.table(spark, sf, "labels"), tables.table(spark, sf, "documents")
     n = F.col("n_chars").cast("double")
     words = F.size(F.split("text", " ")).cast("double")
-    return d.join(y, "doc_id").select(
-        "doc_id", F.md5(text.normalized(F.col("text"))).alias("group_id"), F.col("quality").alias("label"),
+    features = d.select(  # numbers meet the labels, not texts
+        "doc_id", F.md5(text.normalized(F.col("text"))).alias("group_id"),
         (F.log1p(n) / 10).alias("log_chars"), (n / words / 10).alias("word_length"), (F.regexp_count("text", F.lit("[^A-Za-z \n.,]")) / F.greatest(n, F.lit(1.0))).alias("odd_share"), (F.col("lang") == "en").cast("double").alias("english"),
     )
+    return features.join(y.select("doc_id", F.col("quality").alias("label")), "doc_id").select("doc_id", "group_id", "label", *FEATURES)
 
 
 FEATURES = ("log_chars", "word_length", "odd_share", "english")
@@ -545,7 +546,7 @@ FEATURES = ("log_chars", "word_length", "odd_share", "english")
 
 @query
 def logistic_scores(spark, sf):
-    rows = _training(spark, sf)
+    rows = cut(_training(spark, sf), "training")  # texts are read once, whatever passes follow
     return rounded(matcher.predict(rows, matcher.fit(rows, FEATURES)).select("doc_id", "label", "probability"))
 
 
